@@ -197,3 +197,58 @@ def test_packing_splits_like_the_tokenizer():
     for parts in itertools.product(pieces, repeat=4):
         text = "".join(parts)
         assert fast.ids(text) == b"".join(i.to_bytes(4, "little") for i in tok.encode(text, add_special_tokens=False).ids), repr(text)
+
+
+def slow_pii(text):
+    """Base spans by Python's re, straight from their description."""
+    text, out = text or "", []
+    for m in re.finditer(r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+", text):
+        out.append((m.start(), 0, "email", m.end()))
+    for m in re.finditer(r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)", text):
+        if all(int(p) <= 255 for p in m[0].split(".")):
+            out.append((m.start(), 1, "ip", m.end()))
+    for m in re.finditer(r"[0-9]([\x20-]?[0-9])+", text):
+        d = [int(c) for c in m[0] if c.isdigit()]
+        if 14 <= len(d) <= 19 and sum(x if i % 2 == 0 else (2 * x - 9 if x > 4 else 2 * x) for i, x in enumerate(d[::-1])) % 10 == 0:
+            out.append((m.start(), 2, "card", m.end()))
+    for m in re.finditer(r"\+[0-9][\x20().0-9-]+[0-9]", text):
+        if 10 <= sum(c.isdigit() for c in m[0]) <= 15:
+            out.append((m.start(), 3, "phone", m.end()))
+    return sorted(out)
+
+
+def slow_written(spans):
+    return ",".join(f"{kind}:{s}:{e}" for s, _, kind, e in spans)
+
+
+def test_pii_query_against_brute_force(spark, sf, texts):
+    rows = queries.op4_pii(spark, sf).collect()
+    assert len(rows) == len(texts)
+    for r in rows:
+        want = slow_pii(texts[r.doc_id])
+        assert (r.n_email, r.n_ip, r.n_card, r.n_phone) == tuple(sum(x[1] == k for x in want) for k in range(4))
+        assert r.base_sha256 == hashlib.sha256(slow_written(want).encode()).hexdigest()
+        assert set(slow_written(want).split(",")) <= set(r.spans.split(",")) or not want
+
+
+def test_pii_base_spans_on_hard_texts(spark):
+    from folioscope.llm import pii
+
+    hard = ["a@b.c_d@e.f", "x.y+z@a-b.co.uk. q@r", "1.2.3.4.5.6.7.8 300.1.1.1 0001.02.3.255 1.2.3.256", "4111 1111-1111 1111 4111111111111111 4111111111111112", "+1 (988) 555-2485 +12 ++4412345678901 +1-", "\U0001f600 é a@b.cd \U0001f600 10.0.0.1", "9" * 20000, "a" * 20000 + "@", "1 2 3 4 5 " * 3000, None, "", "a@b.c@d.e.f@g"]
+    rows = pii.find(spark.createDataFrame(list(enumerate(hard)), "doc_id long, text string")).collect()
+    assert {r.doc_id: [tuple(b) for b in r.base] for r in rows} == {i: slow_pii(t) for i, t in enumerate(hard)}
+
+
+def test_pii_contexts_discover_unseen_identifiers(spark):
+    from folioscope.llm import pii
+
+    rows = [(i, f"some text mailto p{i}@x.example.com thanks for item {i}") for i in range(20)] + [(100, "write mailto weird42#at#host thanks"), (101, "plain item 77 here")]
+    found = {r.doc_id: pii_text for r in pii.find(spark.createDataFrame(rows, "doc_id long, text string")).collect() for pii_text in [[b.kind for b in r.spans]]}
+    assert found[100] == ["id"] and found[101] == [] and found[3] == ["email"]
+
+
+def test_pii_edges(edge):
+    from folioscope.llm import pii
+
+    assert len(pii.find(edge).collect()) == len(EDGE)
+    assert pii.find(edge.limit(0)).collect() == []
