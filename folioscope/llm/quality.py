@@ -49,10 +49,11 @@ def measures(docs: DataFrame, text_col: str = "text", prefix: str = "") -> DataF
     t = _TEMP
     words, lines, keys, bits = (F.col(t + x) for x in ("words", "lines", "keys", "bits"))
     text = F.col(t + "text")
+    right, left = (lambda x, k, f=f: F.call_function(f, x, k) for f in ("shiftright", "shiftleft"))
     # a window's hash with its place in the lowest bits: sorted, equal windows stand side by side
-    window = lambda i: F.shiftleft(F.shiftright(F.xxhash64(words[i], words[i + 1], words[i + 2]), bits), bits).bitwiseOR(i.cast("long"))
-    same = lambda x, y: F.shiftright(x, bits) == F.shiftright(y, bits)
-    place = lambda x: x.bitwiseAND(F.shiftleft(F.lit(1).cast("long"), bits) - 1).cast("int")
+    window = lambda i: left(right(F.xxhash64(words[i], words[i + 1], words[i + 2]), bits), bits).bitwiseOR(i.cast("long"))
+    same = lambda x, y: right(x, bits) == right(y, bits)
+    place = lambda x: x.bitwiseAND(left(F.lit(1).cast("long"), bits) - 1).cast("int")
     n = F.size(words)
     out = (
         docs.withColumn(t + "text", text_or_empty(text_col))
@@ -159,4 +160,6 @@ def keep_good(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_c
     measured = checkpoint(measures(docs.select(id_col, stratum_col, text_col), text_col).drop(text_col))
     chosen = cutoffs(measured, labels, id_col, stratum_col, **options)
     p = "__kept_"
-    return judge(measures(docs, text_col, p), chosen, stratum_col, p).where(F.col(p + "kept")).select(*docs.columns)
+    # the row number keeps Catalyst from pushing the filter below the measures, which would take them again for each use
+    fixed = measures(docs, text_col, p).withColumn(p + "row", F.monotonically_increasing_id())
+    return judge(fixed, chosen, stratum_col, p).where(F.col(p + "kept") & (F.col(p + "row") >= 0)).select(*docs.columns)
