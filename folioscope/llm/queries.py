@@ -57,7 +57,7 @@ def op3_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op4_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = pii.find(table(spark, sf_dir, "documents"))
-    counts = [F.size(F.filter("base", lambda b, k=k: b["kind"] == k)).cast("long").alias(f"n_{k}") for k in pii.KINDS]
+    counts = [pii.count_of(k, F.col("base")).alias(f"n_{k}") for k in pii.KINDS]
     return found.select("doc_id", *counts, F.sha2(pii.written(F.col("base")), 256).alias("base_sha256"), pii.written(F.col("spans")).alias("spans"))
 
 
