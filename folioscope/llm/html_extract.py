@@ -139,6 +139,7 @@ def main_text(html: str, template: frozenset | set = frozenset()) -> str:
     own = [t for t, inside in blocks if inside]
     if not own:
         own = [t for t, _ in blocks if not template or _hash("text " + t) not in template]
+        own = own or [t for t, _ in blocks]  # copies of one page are no template of each other
     return "\n\n".join(own)
 
 

@@ -193,7 +193,7 @@ def write_archives(pages: DataFrame, path: str, id_col: str = "page_id", url_col
                     data = member(make_record(i, url, b"", digest, winner, True, n))
                 if out is None:
                     name, records, size = f"{uuid.uuid4().hex}.warc.gz", 0, 0
-                    out = store.open_output_stream(f"{folder}/{name}")
+                    out = store.open_output_stream(f"{folder}/{name}", compression=None)
                 out.write(data)
                 records, size = records + 1, size + len(data)
                 if size >= roll_bytes:
@@ -205,8 +205,8 @@ def write_archives(pages: DataFrame, path: str, id_col: str = "page_id", url_col
         yield pa.RecordBatch.from_arrays([pa.array([d[k] for d in done], t) for k, t in enumerate((pa.string(), pa.int64(), pa.int64()))], ["file", "records", "bytes"])
 
     manifest = joined.mapInArrow(write, "file string, records long, bytes long")
-    manifest.write.parquet(f"{path}/_manifest")
-    return pages.sparkSession.read.schema("file string, records long, bytes long").parquet(f"{path}/_manifest")
+    manifest.write.parquet(f"{path}/manifest")
+    return pages.sparkSession.read.schema("file string, records long, bytes long").parquet(f"{path}/manifest")
 
 
 _ROWS = "file string, start long, end long, gap string, record_type string, record_id string, url string, source_id long, refers_to_id string, refers_to long, payload_digest string, payload_bytes long, payload binary"
