@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from folioscope.llm import html_extract, packing, pii, quality, secrets, simhash, topk, toxicity, warc
+from folioscope.llm import html_extract, packing, pii, quality, secrets, sentencepiece_lattice, simhash, topk, toxicity, warc
 from folioscope.llm.common import scratch, table
 
 #: Folder of the public tokenizers' files; a parameter of every operator that needs one.
@@ -77,6 +77,11 @@ def op7_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("page_id", "url", "text", F.length("text").cast("long").alias("n_chars"))
 
 
+def op8_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = sentencepiece_lattice.encode(table(spark, sf_dir, "documents"), f"{TOKENIZERS}/piece_bpe_32k.model")
+    return found.select("doc_id", (F.octet_length("ids") / 4).cast("long").alias("n_pieces"), F.crc32("ids").alias("ids_crc32"), "round_trip")
+
+
 def op9_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     records = warc.round_trip(table(spark, sf_dir, "pages"), scratch(spark, "warc"), spark, min_bytes=0)
     return records.where("gap is null").select(F.col("source_id").alias("page_id"), "payload_bytes", "payload_digest", "record_type", "refers_to")
@@ -96,6 +101,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op5_secret_scan": op5_secret_scan,
         "op6_quality_rules": op6_quality_rules,
         "op7_html_extraction": op7_html_extraction,
+        "op8_sentencepiece": op8_sentencepiece,
         "op9_warc": op9_warc,
         "op10_best_fit_packing": op10_best_fit_packing,
     }
