@@ -3,8 +3,8 @@
 Categories are predicted one after another; a later model sees, besides the words of a
 text, the probabilities of the categories before it.  In training those come from
 out-of-fold models, so that a later model learns from probabilities of the quality it
-will meet.  The models are logistic regressions on the presence of words, with a
-vocabulary of the words most associated with a category.
+will meet.  The models are logistic regressions on the presence of words and
+of word beginnings, with a vocabulary of those most associated with a category.
 
 The label table has two flags, so the chain of the query is low quality, then toxicity;
 :func:`train` takes any list of label columns.
@@ -34,11 +34,15 @@ from pyspark.sql import functions as F
 
 from folioscope.llm.common import checkpoint, text_or_empty
 
+#: Characters of a word that stand for its stem.
+STEMS = (5,)
 _WORD = re.compile(r"[^\W\d_]+")
 
 
 def words_of(text: str | None) -> set[str]:
-    return set(_WORD.findall((text or "").lower()))
+    """Lower-case words and, for the many forms of one stem, their first characters marked by ``^``."""
+    words = set(_WORD.findall((text or "").lower()))
+    return words.union(*({"^" + w[:n] for w in words if len(w) > n} for n in STEMS))
 
 
 @dataclass
