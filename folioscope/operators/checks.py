@@ -25,8 +25,9 @@ def locate_exact(quotes: DataFrame, sources: DataFrame, quote_id: str, quote: st
     q = quotes.select(F.col(quote_id).alias("quote_id"), canon(F.col(quote)).alias("q")).where(F.length("q") >= width).withColumn("head", F.substring("q", 1, width))
     heads = q.select("head").distinct()
     s = sources.select(F.col(source_id).alias("source_id"), canon(F.col(text)).alias("t"))
-    starts = F.filter(F.sequence(F.lit(1), F.greatest(F.lit(1), F.length("t") - width + 1)), lambda i: (i == 1) | (F.substr(F.col("t"), i - 1, F.lit(1)) == " "))
-    windows = s.select("source_id", F.explode(F.array_distinct(F.transform(starts, lambda i: F.substr(F.col("t"), i, F.lit(width))))).alias("head"))
+    # a look-ahead at every word's beginning: one pass over the text
+    heads_of = F.regexp_extract_all("t", F.lit(f"(?<![^ ])(?=(.{{{width}}}))"), F.lit(1))
+    windows = s.select("source_id", F.explode(F.array_distinct(heads_of)).alias("head"))
     near = windows.join(heads, "head", "left_semi").join(q, "head").select("source_id", "quote_id", "q").distinct()
     return near.join(s, "source_id").where(F.contains("t", "q")).select("quote_id", "source_id", F.expr("cast(instr(t, q) as bigint)").alias("place"))
 

@@ -44,8 +44,8 @@ def baseline(filings: DataFrame, key: str, day: str, id_col: str, annual: Column
 
 def stale(newest: DataFrame, key: str, day: str, years: int = 3) -> DataFrame:
     """Keys whose newest filing is more than ``years`` behind the newest of all."""
-    top = newest.agg(F.add_months(F.max(day), -12 * years).alias("cutoff"))
-    return newest.crossJoin(F.broadcast(top)).where(F.col(day) < F.col("cutoff")).select(key, day)  # one row
+    cutoff = newest.agg(F.add_months(F.max(day), -12 * years)).first()[0]
+    return newest.where(F.col(day) < F.lit(cutoff)).select(key, day)
 
 
 def missing_years(filings: DataFrame, key: str, day: str, first: int, last: int) -> DataFrame:

@@ -6,6 +6,8 @@ batch are scored in one pass; only the query terms' postings are ever shuffled.
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -32,13 +34,14 @@ def bm25(docs: DataFrame, terms: list[str], id_col: str = "doc_id", text_col: st
     rows = postings(docs, terms, id_col, text_col)
     n_terms = range(len(terms))
     stats = rows.agg(F.count("*").alias("n"), F.avg("dl").alias("avgdl"), *(F.count_if(F.col("tfs")[i] > 0).alias(f"df{i}") for i in n_terms))
-    both = rows.crossJoin(F.broadcast(stats))  # one row of corpus statistics
-    idf = [F.log(1 + (F.col("n") - F.col(f"df{i}") + 0.5) / (F.col(f"df{i}") + 0.5)) for i in n_terms]
-    part = [idf[i] * F.col("tfs")[i] / (F.col("tfs")[i] + k1 * (1 - b + b * F.col("dl") / F.greatest(F.lit(1e-9), F.col("avgdl")))) for i in n_terms]
+    # one row of corpus statistics; the texts are read once for it and once for the scores
+    known = stats.first()
     total = F.lit(0.0)
-    for p in part:
-        total = total + p
-    return both.select("doc_id", F.round(total, 6).alias("score"))
+    for i in n_terms:
+        idf = math.log(1 + (known["n"] - known[f"df{i}"] + 0.5) / (known[f"df{i}"] + 0.5))
+        tf = F.col("tfs")[i]
+        total = total + idf * tf / (tf + k1 * (1 - b + b * F.col("dl") / max(1e-9, known["avgdl"] or 0.0)))
+    return rows.select("doc_id", F.round(total, 6).alias("score"))
 
 
 def cosine(vectors: DataFrame, query: list[float], id_col: str = "vec_id", vector_col: str = "embedding") -> DataFrame:
