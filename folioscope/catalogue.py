@@ -210,8 +210,8 @@ def rrf_within_source(spark, sf_dir):
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Best documents of every source, lexical and vector search fused, numbered within a token budget."""
     best = _within_source(spark, sf_dir, 3)
-    kept = retrieval.greedy_budget(best.withColumn("place", F.col("rank")), "source", "place", "n_tokens", 20_000)
-    rows = best.join(kept, (best["source"] == kept["source"]) & (best["rank"] == kept["place"])).select(best["source"], "doc_id", "rrf", "rank", "n_tokens")
+    kept = retrieval.greedy_budget(best.withColumn("place", F.col("rank")), "source", "place", "n_tokens", 20_000).select(F.col("source").alias("of_source"), "place")
+    rows = best.join(kept, (F.col("source") == F.col("of_source")) & (F.col("rank") == F.col("place"))).select("source", "doc_id", "rrf", "rank", "n_tokens")
     return rows.withColumn("cid", F.concat(F.lit("C"), F.col("rank")))
 
 
