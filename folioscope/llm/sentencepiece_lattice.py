@@ -35,9 +35,9 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from folioscope.llm.common import checkpoint, text_or_empty
+from folioscope.llm.common import stored, text_or_empty
 
-CHUNK_CHARS, FOLD_CHARS, MAX_PIECES = 4 << 20, 200, 1 << 18
+CHUNK_CHARS, FOLD_CHARS, MAX_PIECES = 16 << 20, 200, 1 << 18
 _SPACE = "▁"
 _WORDS = re.compile(f"{_SPACE}*[^{_SPACE}\n]+|{_SPACE}+|\n")
 
@@ -185,9 +185,9 @@ def encode(docs: DataFrame, model_path: str, id_col: str = "doc_id", text_col: s
                 )
                 a, seq = b, seq + 1
 
-    chunks = checkpoint(plain.mapInArrow(chunk, f"chunk long, ids array<{kind}>, sizes array<int>, crcs array<bigint>, packed binary, words array<string>"))
+    chunks = stored(plain.mapInArrow(chunk, f"chunk long, ids array<{kind}>, sizes array<int>, crcs array<bigint>, packed binary, words array<string>"), "chunks")
     own = chunks.select("chunk", F.posexplode("words").alias("nth", "word"))
-    known = checkpoint(dictionary(own, pieces))
+    known = stored(dictionary(own, pieces), "words")
     looked_up = own.join(known.withColumnRenamed("word", "of_word"), F.col("word") == F.col("of_word")).select("chunk", "nth", "ids")
     gathered = looked_up.groupBy(F.col("chunk").alias("of_chunk")).agg(F.collect_list(F.struct("nth", F.col("ids"))).alias("found"))
     joined = chunks.select("chunk", "ids", "sizes", "crcs", "packed").join(gathered, F.col("chunk") == F.col("of_chunk"), "left").select("ids", "sizes", "crcs", "packed", "found")
