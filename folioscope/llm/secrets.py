@@ -1,10 +1,12 @@
 """Secret scan: candidates by shape, false positives removed by a random forest.
 
-Candidates are runs of at least 16 characters of ``[A-Za-z0-9_+/=-]`` that hold a digit
-or are all capitals, and are no part of a longer word; a leading name and its assignment are cut off.  The forest sees a candidate's length and
+Candidates are runs of at least 16 characters of ``[A-Za-z0-9_+/=-]`` that are no part of
+a longer word (a leading name and its assignment are cut off), values of at least
+``SHORT`` characters of any alphabet assigned to a name that speaks of secrets, and
+passwords in the user part of a URL.  The forest sees a candidate's length and
 alphabet, its character transitions (changes of class, and how common its character
 pairs are in ordinary words), its coverage by dictionary words, its path, and its
-neighbouring words.  It is trained from labelled findings: a table (candidate, before,
+neighbouring words.  Accepted candidates that overlap are one finding.  It is trained from labelled findings: a table (candidate, before,
 after, path, label).  No labelled findings come with the corpus, so the query trains on
 a bounded, seeded set made by :func:`example_findings` from public key formats
 (positives) and the usual look-alikes (negatives).
@@ -34,13 +36,18 @@ from folioscope.llm.common import text_or_empty
 
 CANDIDATE = re.compile(r"(?<![^\W_])[A-Za-z0-9_+/=-]{16,}(?![^\W_])")
 _VALUE = re.compile(r"[A-Za-z_-]{2,24}[=:]+(?=[^=:]{8,})")
-#: A candidate holds a digit or is all capitals.
-_DIGIT = re.compile("[0-9]|(?<![a-z_+/=-])[A-Z]{16,}(?![a-z_+/=-])")
+#: Least characters of a value assigned to a secret's name, or of a URL's password.
+SHORT = 6
 _NEAR = 40
 # fixed values: words that name secrets, and words that name harmless values
 _KEYS = ("api", "auth", "credential", "key", "passwd", "password", "pwd", "private", "secret", "token")
 _HARMLESS = ("checksum", "commit", "digest", "dummy", "etag", "example", "fake", "hash", "md5", "placeholder", "sample", "sha1", "sha256", "test", "uuid", "version")
 _PATHS = ("doc", "example", "fixture", "mock", "sample", "test")
+_ASSIGN = re.compile(r"[=:]+>?[ \t]*")
+_NAMED = re.compile(rf"(?:{'|'.join(_KEYS)})[A-Za-z0-9_-]{{0,16}}[\"']?\]?[ \t]*\Z", re.I)
+_GIVEN = re.compile(rf"\"([^\"\n]{{{SHORT},}})\"|'([^'\n]{{{SHORT},}})'|([^\s\"'<>,;]{{{SHORT},}})")
+_USER = re.compile(rf"://[^\s/:@]*:([^\s/]{{{SHORT},}})@")
+_MORE = re.compile(r"[^A-Za-z0-9_+/=-]")
 # fixed values: frequent pieces of ordinary words in the languages of the corpus
 _PIECES = "an and ant ar as at be ble che ción con de der des die du eau ed ein elle em en ent er es et eux for ge hat heit ich ie ier in ing ion is it keit la le les lich ly ment mente mit nd no nt of on or os ou par para pour que ra re res sch se sh si st su ta te th that the ti tion to tre un und ung va ver von wa wh with you".split()
 _KIND = {**{c: 0 for c in "abcdefghijklmnopqrstuvwxyz"}, **{c: 1 for c in "ABCDEFGHIJKLMNOPQRSTUVWXYZ"}, **{c: 2 for c in "0123456789"}}
@@ -50,15 +57,24 @@ _COVER = re.compile("|".join(re.escape(p) for p in _BY_SIZE if len(p) >= 2))
 
 
 def candidates(text: str) -> Iterator[tuple[int, int]]:
-    """(start, end) of every candidate; a leading name and its assignment are not part of it."""
-    if not _DIGIT.search(text):
-        return
+    """(start, end) of every candidate, each once, in order; they may overlap."""
+    found = set()
     for m in CANDIDATE.finditer(text):
         start, end = m.span()
-        if not _DIGIT.search(text, start, end):
-            continue
         name = _VALUE.match(text, start, end)
-        yield (name.end() if name else start), end
+        found.add((name.end() if name else start, end))
+    for m in _ASSIGN.finditer(text):
+        if _NAMED.search(text, max(0, m.start() - _NEAR), m.start()):
+            given = _GIVEN.match(text, m.end())
+            if given:
+                start, end = given.span(given.lastindex)
+                if given.lastindex == 3:  # the end of a sentence is not part of a bare value
+                    end = start + len(text[start:end].rstrip(".:)]}"))
+                if end - start >= SHORT:
+                    found.add((start, end))
+    if "://" in text:
+        found.update(m.span(1) for m in _USER.finditer(text))
+    yield from sorted(found)
 
 
 def features(value: str, before: str, after: str, path: str) -> list[float]:
@@ -88,6 +104,10 @@ def features(value: str, before: str, after: str, path: str) -> list[float]:
         float(any(k in after.lower() for k in _HARMLESS)),
         float(bool(re.match(r"[A-Za-z]{2,4}[_-]|A[A-Z]{3}[A-Z0-9]|eyJ|xox", value))),
         max(counts, default=0) / max(1, n),
+        float(2 in kinds),
+        float(len(set(kinds))),
+        len(_MORE.findall(value)) / max(1, n),
+        float(bool(re.search(r"://[^\s/:@]*:\Z", before)) and after.startswith("@")),
     ]
 
 
@@ -120,6 +140,18 @@ def example_findings(seed: int = 11, each: int = 300) -> list[tuple[str, str, st
             (pick("x=-_*"[: rnd.randint(1, 4)], rnd.randint(16, 40)), prose() + rnd.choice(("", assign())), prose(), path(), 0),
             (pick(low + up + digits, 32), prose() + rnd.choice(("example ", "sample ", "fake ")), prose(), rnd.choice(("tests/fixtures/a.json", "docs/example.md")), 0),
             ("/".join(word(2) for _ in range(5)), prose(), prose(), path(), 0),
+            (rnd.choice((hexa(rnd.choice((32, 40))), pick(low + up + digits, rnd.randint(8, 40)))), prose() + word(1) + ".example.com " + rnd.choice(("", word(1) + ". ")) + assign(), prose(), path(), 1),
+            (pick(low + up + digits, rnd.randint(8, 15)), prose() + assign(), prose(), path(), 1),
+            (pick(low + up + digits + "!@#$%^&*?.", rnd.randint(8, 20)), prose() + assign(), prose(), path(), 1),
+            (pick(low + up + digits + "!$%^*-_", rnd.randint(8, 16)), prose() + rnd.choice(("postgres", "mysql", "https", "amqp")) + "://" + word(2) + ":", "@" + word(2) + ".example/" + word(1), path(), 1),
+            (pick(low + up, rnd.randint(18, 40)), prose() + rnd.choice(("", assign())), prose(), path(), 1),
+            (pick(low, rnd.randint(18, 40)), prose() + assign(), prose(), path(), 1),
+            (word(rnd.randint(3, 6)).ljust(SHORT, "e"), prose() + assign(), prose(), path(), 0),
+            (word(rnd.randint(3, 6)).ljust(SHORT, "e").capitalize(), prose() + assign(), prose(), path(), 0),
+            ("".join(word(2).capitalize() for _ in range(rnd.randint(3, 6))), prose() + rnd.choice(("", assign())), prose(), path(), 0),
+            (rnd.choice(("_", ".", "-")).join(word(2) for _ in range(rnd.randint(2, 5))), prose() + assign(), prose(), path(), 0),
+            (rnd.choice(("changeme", "xxxxxxxx", "********", "your_password", "example", "${DB_PASSWORD}", "{{secret}}", "os.environ", "getenv(name)", "[SECRET]", "<password>", "redacted")), prose() + assign(), prose(), path(), 0),
+            (rnd.choice(("password", "changeme", "${PASSWORD}", "********")), prose() + "https://" + word(2) + ":", "@" + word(2) + ".example/", path(), 0),
         ]
     return out
 
@@ -198,7 +230,10 @@ def find_in(texts: list[str], paths: list[str], forest: Forest, cutoff: float =
     for i in range(0, len(rows), 65536):
         for (k, s, e), p in zip(places[i : i + 65536], forest.predict(np.array(rows[i : i + 65536])), strict=True):
             if p > cutoff:
-                out[k].append((s, e, round(float(p), 6)))
+                score = round(float(p), 6)
+                if out[k] and s < out[k][-1][1]:
+                    s, e, score = out[k][-1][0], max(e, out[k][-1][1]), max(score, out[k].pop()[2])
+                out[k].append((s, e, score))
     return out
 
 
