@@ -25,6 +25,58 @@ def test_heap_merges_follow_the_library(library):
         assert lattice.decode(np.array(ids, dtype=int), pieces) == text
 
 
+def hand_made_unigram() -> bytes:
+    """A serialised unigram model written field by field; nothing is trained."""
+    import struct
+
+    def field(number, data):
+        return bytes([number << 3 | 2]) + (bytes([len(data)]) if len(data) < 128 else bytes([len(data) & 127 | 128, len(data) >> 7])) + data
+
+    pieces = [("<unk>", 0.0, 2), ("<s>", 0.0, 3), ("</s>", 0.0, 3)] + [(f"<0x{b:02X}>", 0.0, 6) for b in range(256)]
+    words = "a b c d e n t ▁ ▁a an ▁an ant ▁ant be ▁be bed tent nt en ▁t te ▁▁ \n é abc bca cab".split(" ")
+    pieces += [(w, -1.0 - 0.37 * ((7 * k) % 11), 1) for k, w in enumerate(words)]
+    out = b"".join(field(1, field(1, p.encode()) + b"\x15" + struct.pack("<f", s) + bytes([3 << 3, k])) for p, s, k in pieces)
+    trainer = bytes([3 << 3, 1]) + bytes([4 << 3]) + bytes([len(pieces) & 127 | 128, len(pieces) >> 7]) + b"\x98\x02\x01"  # unigram, size, byte fallback
+    normalizer = field(1, b"identity") + bytes([3 << 3, 1, 4 << 3, 0, 5 << 3, 1])
+    return out + field(2, trainer) + field(3, normalizer)
+
+
+def test_unigram_fold_follows_viterbi_and_the_library(spark):
+    import random
+
+    model, rnd = hand_made_unigram(), random.Random(9)
+    pieces = lattice.parse(model)
+    assert pieces.unigram
+    known = sentencepiece.SentencePieceProcessor(model_proto=model)
+    texts = ["".join(rnd.choice(["a", "b", "c", "d", "e", "n", "t", "ant", "bed", " ", "  ", "\n", "é", "日", "z"]) for _ in range(rnd.randrange(18))) for _ in range(300)]
+    texts += ["ab" * 60, "", "ant" * 3000]
+    for t in texts:
+        slow = [i for w in lattice.words_of(t) for p in lattice.segments(w, pieces.pairs) for i in lattice.viterbi(p, pieces)]
+        assert slow == known.encode(t), repr(t)
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {r.doc_id: np.frombuffer(bytes(r.ids), dtype="<u4").tolist() for r in lattice.encode_with(docs, pieces).collect()}
+    assert got == {i: known.encode(t) for i, t in enumerate(texts)}
+
+
+def test_fold_follows_the_library(spark, library):
+    import random
+
+    rnd = random.Random(8)
+    some = ["the", "an", " ", "  ", "   ", " " * 13, " " * 17, "\n", "é", "日", "\U0001f600", "x", "ing", "A", "\t", "0", "9", "=", "ou", "str", "ength", "'s", "."]
+    texts = ["".join(rnd.choice(some) for _ in range(rnd.randrange(24))) for _ in range(1500)] + ["e" * 62, "e" * 63, "e" * 64, "the" * 20, "the" * 21]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    rows = lattice.encode(docs, MODEL).collect()
+    assert all(r.round_trip for r in rows)
+    assert {r.doc_id: np.frombuffer(bytes(r.ids), dtype="<u4").tolist() for r in rows} == {i: library.encode(t) for i, t in enumerate(texts)}
+
+
+def test_clashing_columns(spark, library):
+    names = "chunk words word nth ids ids_ blob blobs edges used id piece three".split()
+    docs = spark.createDataFrame([(1, "the tent", *range(len(names)))], "doc_id long, text string, " + ", ".join(f"{n} int" for n in names))
+    (row,) = lattice.encode(docs, MODEL).collect()
+    assert np.frombuffer(bytes(row.ids), dtype="<u4").tolist() == library.encode("the tent")
+
+
 def test_query_against_the_library(spark, sf, library):
     import zlib
 
