@@ -20,7 +20,7 @@ piece are folded by :func:`merge` or :func:`viterbi` in Python over the same tab
 
 Texts never meet the dictionary word by word.  The first pass writes texts as chunks of
 at most ``CHUNK_CHARS`` characters: numbers of segments, and the chunk's own distinct
-segments.  Only those are joined to the dictionary; their ids come back packed, in a
+segments.  Only those are joined to the folded lattice, in one exchange; their ids come back packed, in a
 few rows a chunk and partition, and each chunk is then written out with them.  The piece
 table is broadcast; its size is bounded by the model file and checked.
 
@@ -49,7 +49,7 @@ from pyspark.sql import functions as F
 
 from folioscope.llm.common import stored, text_or_empty
 
-CHUNK_CHARS, FOLD_CHARS = 8 << 20, 62
+CHUNK_CHARS, FOLD_CHARS = 16 << 20, 62
 #: Bits of an edge: id, length, start; the rank stands above them.  The last id marks a character outside the table.
 _ID, _LEN, _START = 18, 6, 6
 UNKNOWN = (1 << _ID) - 1
@@ -57,6 +57,8 @@ UNKNOWN = (1 << _ID) - 1
 PER_PART, MAX_PARTS, PACKED = 1 << 16, 100_000, 1 << 18
 #: Segments grouped in a task without sorting; beyond them Spark sorts.
 GROUPS = 1 << 15
+#: Bits of a segment's number within its chunk.
+_NTH = 28
 #: Pieces that one pass by rank may miss, at most.
 MAX_LATE = 64
 _SPACE = "▁"
@@ -301,9 +303,12 @@ def fold_scores(edges: Column, length: Column) -> Column:
     return F.aggregate(F.sequence(F.lit(1), length), begin, back, lambda s: s["out"])
 
 
-def dictionary(words: DataFrame, pieces: Pieces, parts: int) -> DataFrame:
-    """(word, ids array<int>) of every distinct segment, dealt by ``word``."""
-    spark = words.sparkSession
+def looked_up(dealt: DataFrame, pieces: Pieces) -> DataFrame:
+    """(key, word_ids array<int>) of every row of ``dealt`` (key, word), which is dealt by ``word``.
+
+    The distinct segments are taken from the same exchange: their largest key keeps both sides' columns alike.
+    """
+    spark = dealt.sparkSession
     rows = [(p, i, rank, float(score)) for p, (i, rank, score) in pieces.table.items()]
     table = F.broadcast(spark.createDataFrame(rows, "piece string, id long, rank long, score float"))
     reach: dict[str, int] = {}
@@ -311,11 +316,11 @@ def dictionary(words: DataFrame, pieces: Pieces, parts: int) -> DataFrame:
         if len(p) > 2:
             reach[p[:3]] = max(reach.get(p[:3], 0), len(p))
     reaches = F.broadcast(spark.createDataFrame(sorted(reach.items()), "three string, reach int"))
-    distinct = words.select("word").repartition(parts, "word").distinct()
     n = F.length("word")
     foldable = n <= FOLD_CHARS
     for p in pieces.late:
         foldable = foldable & ~F.contains("word", F.lit(p))
+    distinct = dealt.groupBy("word").agg(F.max("key").alias("seen")).where("seen is not null")
     starts = distinct.where(foldable).select("word", F.explode(F.sequence(F.lit(1), n)).alias("s"))
     reached = starts.join(reaches, F.expr("substring(word, s, 3)") == F.col("three"), "left")
     spans = reached.select("word", "s", F.explode(F.sequence(F.lit(1), F.least(F.coalesce("reach", F.lit(2)), n - F.col("s") + 1))).alias("n"))
@@ -346,33 +351,50 @@ def dictionary(words: DataFrame, pieces: Pieces, parts: int) -> DataFrame:
     def long_ids(long):
         return long.map(lambda w: by_word(w, pieces))
 
-    return folded.unionByName(distinct.where(~foldable).select("word", long_ids("word").alias("ids")))
+    rest = dealt.where(~foldable)
+    long = rest.select("word").distinct().select(F.col("word").alias("of_word"), long_ids("word").alias("word_ids"))
+    known = folded.select(F.col("word").alias("of_word"), F.col("ids").alias("word_ids"))
+    return dealt.join(known, F.col("word") == F.col("of_word")).unionByName(rest.join(long, F.col("word") == F.col("of_word"))).select("key", "word_ids")
+
+
+def _squeeze(values: np.ndarray) -> bytes:
+    """Unsigned 32-bit numbers, byte plane by byte plane, compressed."""
+    from zstandard import ZstdCompressor
+
+    return ZstdCompressor(level=3).compress(np.ascontiguousarray(values.astype("<u4").view(np.uint8).reshape(-1, 4).T).tobytes())
+
+
+def _widen(data: bytes) -> np.ndarray:
+    from zstandard import ZstdDecompressor
+
+    return np.ascontiguousarray(np.frombuffer(ZstdDecompressor().decompress(data), np.uint8).reshape(4, -1).T).view("<u4").reshape(-1)
 
 
 def _pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(chunk, nth, ids) to a compressed row (numbers, counts, ids) of every chunk."""
+    """(key, ids) to a compressed row (steps between numbers, counts, ids) of every chunk."""
     held: list[tuple[np.ndarray, ...]] = []
     rows = 0
 
     def flush() -> pa.RecordBatch:
-        chunk, nth, count, ids = (np.concatenate([h[k] for h in held]) for k in range(4))
+        key, count, ids = (np.concatenate([h[k] for h in held]) for k in range(3))
         starts = np.concatenate(([0], np.cumsum(count)))
-        order = np.argsort(chunk, kind="stable")
-        cuts = np.concatenate(([0], np.nonzero(np.diff(chunk[order]))[0] + 1, [len(order)]))
-        names, blobs = [], []
+        order = np.argsort(key)
+        chunk, nth = key[order] >> _NTH, key[order] & ((1 << _NTH) - 1)
+        cuts = np.concatenate(([0], np.nonzero(np.diff(chunk))[0] + 1, [len(order)]))
+        columns = ([], [], [], [])
         for a, b in zip(cuts, cuts[1:]):
             own = order[a:b]
             lengths = count[own]
             at = np.repeat(starts[own] - np.concatenate(([0], np.cumsum(lengths)[:-1])), lengths) + np.arange(lengths.sum())
-            names.append(int(chunk[own[0]]))
-            blobs.append(zlib.compress(struct.pack("<I", len(own)) + nth[own].astype("<u4").tobytes() + lengths.astype("<u4").tobytes() + ids[at].astype("<u4").tobytes(), 1))
+            for to, x in zip(columns, (int(chunk[a]), _squeeze(np.diff(nth[a:b], prepend=0)), _squeeze(lengths), _squeeze(ids[at])), strict=True):
+                to.append(x)
         held.clear()
-        return pa.RecordBatch.from_arrays([pa.array(names, pa.int64()), pa.array(blobs, pa.binary())], ["chunk", "blob"])
+        return pa.RecordBatch.from_arrays([pa.array(columns[0], pa.int64()), *(pa.array(c, pa.binary()) for c in columns[1:])], ["chunk", "steps", "counts", "pieces"])
 
     for batch in batches:
         if batch.num_rows:
-            lists = batch.column(2)
-            held.append((batch.column(0).to_numpy(), batch.column(1).to_numpy(), lists.value_lengths().to_numpy(), lists.flatten().to_numpy()))
+            lists = batch.column(1)
+            held.append((batch.column(0).to_numpy(), lists.value_lengths().to_numpy(), lists.flatten().to_numpy()))
             rows += batch.num_rows
             if rows >= PACKED:
                 yield flush()
@@ -381,20 +403,15 @@ def _pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield flush()
 
 
-def _unpack(blobs: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def _unpack(found: list[dict]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(starts by number, counts by number, ids) of a chunk."""
-    numbers, counts, ids = [], [], []
-    for blob in blobs:
-        data = zlib.decompress(blob)
-        (n,) = struct.unpack_from("<I", data)
-        numbers.append(np.frombuffer(data, "<u4", n, 4))
-        counts.append(np.frombuffer(data, "<u4", n, 4 + 4 * n))
-        ids.append(np.frombuffer(data, "<u4", -1, 4 + 8 * n))
-    nth, count = np.concatenate(numbers), np.concatenate(counts).astype(np.int64)
+    none = np.zeros(0, dtype="<u4")
+    nth = np.concatenate([none, *(np.cumsum(_widen(f["steps"])) for f in found)]).astype(np.int64)
+    count = np.concatenate([none, *(_widen(f["counts"]) for f in found)]).astype(np.int64)
     starts, sizes = np.zeros(len(nth), dtype=np.int64), np.zeros(len(nth), dtype=np.int64)
-    starts[nth] = np.concatenate(([0], np.cumsum(count)[:-1]))
+    starts[nth] = np.cumsum(count) - count
     sizes[nth] = count
-    return starts, sizes, np.concatenate(ids)
+    return starts, sizes, np.concatenate([none, *(_widen(f["pieces"]) for f in found)])
 
 
 def encode(docs: DataFrame, model_path: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -429,13 +446,15 @@ def encode_with(docs: DataFrame, pieces: Pieces, id_col: str = "doc_id", text_co
                             x = known[w] = tuple(number.setdefault(p, len(number)) for p in segments(w, pairs))
                         numbers.extend(x)
                     sizes.append(len(numbers) - before)
+                if seq >> 15 or len(number) >> _NTH:
+                    raise OverflowError("too many chunks in a partition, or segments in a text")
                 yield pa.RecordBatch.from_arrays(
                     [
-                        pa.array([part << 32 | seq], pa.int64()),
+                        pa.array([part << 15 | seq], pa.int64()),
                         pa.ListArray.from_arrays(pa.array([0, b - a], pa.int32()), ids.slice(a, b - a)),
                         pa.array([sizes], pa.list_(pa.int32())),
                         pa.array([[zlib.crc32(t.encode()) for t in texts[a:b]]], pa.list_(pa.int64())),
-                        pa.array([zlib.compress(np.array(numbers, dtype="<u4").tobytes(), 1)], pa.binary()),
+                        pa.array([_squeeze(np.array(numbers, dtype="<u4"))], pa.binary()),
                         pa.array([list(number)], pa.list_(pa.string())),
                     ],
                     ["chunk", "ids", "sizes", "crcs", "packed", "words"],
@@ -445,25 +464,25 @@ def encode_with(docs: DataFrame, pieces: Pieces, id_col: str = "doc_id", text_co
     chunks = stored(plain.mapInArrow(chunk, f"chunk long, ids array<{kind}>, sizes array<int>, crcs array<bigint>, packed binary, words array<string>"), "chunks")
     total = chunks.agg(F.coalesce(F.sum(F.size("words")), F.lit(0))).first()[0]
     parts = max(1, min(MAX_PARTS, -(-total // PER_PART)))
-    own = chunks.select("chunk", F.posexplode("words").alias("nth", "word"))
-    known = dictionary(own, pieces, parts).select(F.col("word").alias("of_word"), F.col("ids").alias("word_ids"))
-    found = own.repartition(parts, "word").join(known, F.col("word") == F.col("of_word")).select("chunk", "nth", "word_ids")
+    key = F.shiftleft("chunk", _NTH).bitwiseOR(F.col("nth").cast("long"))
+    dealt = chunks.select("chunk", F.posexplode("words").alias("nth", "word")).select(key.alias("key"), "word").repartition(parts, "word")
+    found = looked_up(dealt, pieces)
     conf, setting = docs.sparkSession.conf, "spark.sql.objectHashAggregate.sortBased.fallbackThreshold"
     before = conf.get(setting)
     conf.set(setting, str(GROUPS))
     try:
-        blobs = stored(found.mapInArrow(_pack, "chunk long, blob binary"), "pieces")
+        blobs = stored(found.mapInArrow(_pack, "chunk long, steps binary, counts binary, pieces binary"), "pieces")
     finally:
         conf.set(setting, before)
-    gathered = blobs.groupBy(F.col("chunk").alias("of_chunk")).agg(F.collect_list("blob").alias("blobs"))
+    gathered = blobs.groupBy(F.col("chunk").alias("of_chunk")).agg(F.collect_list(F.struct("steps", "counts", "pieces")).alias("blobs"))
     joined = chunks.select("chunk", "ids", "sizes", "crcs", "packed").join(gathered, F.col("chunk") == F.col("of_chunk"), "left").select("ids", "sizes", "crcs", "packed", "blobs")
 
     def assemble(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for r in range(batch.num_rows):
                 doc_ids, sizes, crcs, packed, blobs = (batch.column(k)[r] for k in range(5))
-                starts, counts, ids = _unpack(blobs.as_py()) if blobs.is_valid else (np.zeros(0, dtype=np.int64),) * 3
-                numbers = np.frombuffer(zlib.decompress(packed.as_py()), dtype="<u4")
+                starts, counts, ids = _unpack(blobs.as_py() or [])
+                numbers = _widen(packed.as_py())
                 out, same, at = [], [], 0
                 for n, crc in zip(sizes.as_py(), crcs.as_py(), strict=True):
                     words = numbers[at : at + n]
