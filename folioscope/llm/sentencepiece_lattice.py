@@ -47,7 +47,7 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from folioscope.llm.common import stored, text_or_empty
+from folioscope.llm.common import drop_spent_shuffles, stored, text_or_empty
 
 CHUNK_CHARS, FOLD_CHARS = 16 << 20, 62
 #: Bits of an edge: id, length, start; the rank stands above them.  The last id marks a character outside the table.
@@ -303,12 +303,13 @@ def fold_scores(edges: Column, length: Column) -> Column:
     return F.aggregate(F.sequence(F.lit(1), length), begin, back, lambda s: s["out"])
 
 
-def looked_up(dealt: DataFrame, pieces: Pieces) -> DataFrame:
-    """(key, word_ids array<int>) of every row of ``dealt`` (key, word), which is dealt by ``word``.
+def looked_up(own: DataFrame, pieces: Pieces, parts: int) -> DataFrame:
+    """(key, word_ids array<int>) of every row of ``own`` (key, word).
 
-    The distinct segments are taken from the same exchange: their largest key keeps both sides' columns alike.
+    The distinct segments are taken from the exchange that also carries the keys: their largest key, and filters that
+    stand below it, keep both sides alike, so Spark makes it once.
     """
-    spark = dealt.sparkSession
+    spark = own.sparkSession
     rows = [(p, i, rank, float(score)) for p, (i, rank, score) in pieces.table.items()]
     table = F.broadcast(spark.createDataFrame(rows, "piece string, id long, rank long, score float"))
     reach: dict[str, int] = {}
@@ -320,8 +321,9 @@ def looked_up(dealt: DataFrame, pieces: Pieces) -> DataFrame:
     foldable = n <= FOLD_CHARS
     for p in pieces.late:
         foldable = foldable & ~F.contains("word", F.lit(p))
+    dealt = own.where(F.col("word").isNotNull() & foldable).repartition(parts, "word")
     distinct = dealt.groupBy("word").agg(F.max("key").alias("seen")).where("seen is not null")
-    starts = distinct.where(foldable).select("word", F.explode(F.sequence(F.lit(1), n)).alias("s"))
+    starts = distinct.select("word", F.explode(F.sequence(F.lit(1), n)).alias("s"))
     reached = starts.join(reaches, F.expr("substring(word, s, 3)") == F.col("three"), "left")
     spans = reached.select("word", "s", F.explode(F.sequence(F.lit(1), F.least(F.coalesce("reach", F.lit(2)), n - F.col("s") + 1))).alias("n"))
     edges = spans.join(table, F.expr("substring(word, s, n)") == F.col("piece"), "left").where("id is not null or n = 1")
@@ -351,7 +353,7 @@ def looked_up(dealt: DataFrame, pieces: Pieces) -> DataFrame:
     def long_ids(long):
         return long.map(lambda w: by_word(w, pieces))
 
-    rest = dealt.where(~foldable)
+    rest = own.where(~foldable)
     long = rest.select("word").distinct().select(F.col("word").alias("of_word"), long_ids("word").alias("word_ids"))
     known = folded.select(F.col("word").alias("of_word"), F.col("ids").alias("word_ids"))
     return dealt.join(known, F.col("word") == F.col("of_word")).unionByName(rest.join(long, F.col("word") == F.col("of_word"))).select("key", "word_ids")
@@ -465,15 +467,15 @@ def encode_with(docs: DataFrame, pieces: Pieces, id_col: str = "doc_id", text_co
     total = chunks.agg(F.coalesce(F.sum(F.size("words")), F.lit(0))).first()[0]
     parts = max(1, min(MAX_PARTS, -(-total // PER_PART)))
     key = F.shiftleft("chunk", _NTH).bitwiseOR(F.col("nth").cast("long"))
-    dealt = chunks.select("chunk", F.posexplode("words").alias("nth", "word")).select(key.alias("key"), "word").repartition(parts, "word")
-    found = looked_up(dealt, pieces)
+    own = chunks.select("chunk", F.posexplode("words").alias("nth", "word")).select(key.alias("key"), "word")
     conf, setting = docs.sparkSession.conf, "spark.sql.objectHashAggregate.sortBased.fallbackThreshold"
     before = conf.get(setting)
     conf.set(setting, str(GROUPS))
     try:
-        blobs = stored(found.mapInArrow(_pack, "chunk long, steps binary, counts binary, pieces binary"), "pieces")
+        blobs = stored(looked_up(own, pieces, parts).mapInArrow(_pack, "chunk long, steps binary, counts binary, pieces binary"), "pieces")
     finally:
         conf.set(setting, before)
+    drop_spent_shuffles(docs.sparkSession)
     gathered = blobs.groupBy(F.col("chunk").alias("of_chunk")).agg(F.collect_list(F.struct("steps", "counts", "pieces")).alias("blobs"))
     joined = chunks.select("chunk", "ids", "sizes", "crcs", "packed").join(gathered, F.col("chunk") == F.col("of_chunk"), "left").select("ids", "sizes", "crcs", "packed", "blobs")
 
