@@ -16,6 +16,8 @@ def shared_dir(spark: SparkSession) -> str:
     case in local tests.
     """
     at = spark.conf.get("spark.checkpoint.dir", None)
+    if not at and not spark.sparkContext.master.split("[")[0] == "local":
+        raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
     if not at:
         at = "file://" + tempfile.mkdtemp(prefix="folioscope-")
         spark.conf.set("spark.checkpoint.dir", at)
@@ -43,6 +45,12 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(at)
 
 
+def remove(spark: SparkSession, path: str) -> None:
+    """Delete a folder of our own below the shared one."""
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
+
+
 def drop_spent_shuffles(spark: SparkSession) -> None:
     """Let Spark remove the shuffle files of plans that nothing refers to any more; its cleaner follows the JVM's collector."""
     import gc

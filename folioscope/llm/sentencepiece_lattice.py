@@ -47,14 +47,14 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from folioscope.llm.common import drop_spent_shuffles, stored, text_or_empty
+from folioscope.llm.common import drop_spent_shuffles, remove, scratch, stored, text_or_empty
 
 CHUNK_CHARS, FOLD_CHARS = 16 << 20, 62
 #: Bits of an edge: id, length, start; the rank stands above them.  The last id marks a character outside the table.
 _ID, _LEN, _START = 18, 6, 6
 UNKNOWN = (1 << _ID) - 1
 #: Segments of chunks in a partition of the dictionary, partitions at most, and segments packed at once.
-PER_PART, MAX_PARTS, PACKED = 1 << 16, 100_000, 1 << 18
+PER_PART, MAX_PARTS, PACKED = 1 << 17, 100_000, 1 << 18
 #: Segments grouped in a task without sorting; beyond them Spark sorts.
 GROUPS = 1 << 15
 #: Bits of a segment's number within its chunk.
@@ -450,32 +450,44 @@ def encode_with(docs: DataFrame, pieces: Pieces, id_col: str = "doc_id", text_co
                     sizes.append(len(numbers) - before)
                 if seq >> 15 or len(number) >> _NTH:
                     raise OverflowError("too many chunks in a partition, or segments in a text")
+                # frequent segments get small numbers, which pack better
+                order = np.argsort(-np.bincount(np.array(numbers, dtype=np.int64), minlength=len(number)), kind="stable")
+                place = np.empty(len(number), dtype="<u4")
+                place[order] = np.arange(len(number))
+                names = list(number)
+                # a row of numbers, and a row of segments, which is not needed any more once they are looked up
                 yield pa.RecordBatch.from_arrays(
                     [
-                        pa.array([part << 15 | seq], pa.int64()),
-                        pa.ListArray.from_arrays(pa.array([0, b - a], pa.int32()), ids.slice(a, b - a)),
-                        pa.array([sizes], pa.list_(pa.int32())),
-                        pa.array([[zlib.crc32(t.encode()) for t in texts[a:b]]], pa.list_(pa.int64())),
-                        pa.array([_squeeze(np.array(numbers, dtype="<u4"))], pa.binary()),
-                        pa.array([list(number)], pa.list_(pa.string())),
+                        pa.array([part << 15 | seq] * 2, pa.int64()),
+                        pa.ListArray.from_arrays(pa.array([0, b - a, b - a], pa.int32()), ids.slice(a, b - a)),
+                        pa.array([sizes, []], pa.list_(pa.int32())),
+                        pa.array([[zlib.crc32(t.encode()) for t in texts[a:b]], []], pa.list_(pa.int64())),
+                        pa.array([_squeeze(place[np.array(numbers, dtype=np.int64)]), None], pa.binary()),
+                        pa.array([[], [names[k] for k in order.tolist()]], pa.list_(pa.string())),
+                        pa.array([0, 1], pa.int32()),
                     ],
-                    ["chunk", "ids", "sizes", "crcs", "packed", "words"],
+                    ["chunk", "ids", "sizes", "crcs", "packed", "words", "kind"],
                 )
                 a, seq = b, seq + 1
 
-    chunks = stored(plain.mapInArrow(chunk, f"chunk long, ids array<{kind}>, sizes array<int>, crcs array<bigint>, packed binary, words array<string>"), "chunks")
-    total = chunks.agg(F.coalesce(F.sum(F.size("words")), F.lit(0))).first()[0]
+    spark, at = docs.sparkSession, scratch(docs.sparkSession, "chunks")
+    schema = f"chunk long, ids array<{kind}>, sizes array<int>, crcs array<bigint>, packed binary, words array<string>, kind int"
+    plain.mapInArrow(chunk, schema).write.option("compression", "zstd").partitionBy("kind").parquet(at)
+    both = spark.read.schema(schema).parquet(at)
+    chunks, words = both.where("kind = 0"), both.where("kind = 1")
+    total = words.agg(F.coalesce(F.sum(F.size("words")), F.lit(0))).first()[0]
     parts = max(1, min(MAX_PARTS, -(-total // PER_PART)))
     key = F.shiftleft("chunk", _NTH).bitwiseOR(F.col("nth").cast("long"))
-    own = chunks.select("chunk", F.posexplode("words").alias("nth", "word")).select(key.alias("key"), "word")
-    conf, setting = docs.sparkSession.conf, "spark.sql.objectHashAggregate.sortBased.fallbackThreshold"
+    own = words.select("chunk", F.posexplode("words").alias("nth", "word")).select(key.alias("key"), "word")
+    conf, setting = spark.conf, "spark.sql.objectHashAggregate.sortBased.fallbackThreshold"
     before = conf.get(setting)
     conf.set(setting, str(GROUPS))
     try:
         blobs = stored(looked_up(own, pieces, parts).mapInArrow(_pack, "chunk long, steps binary, counts binary, pieces binary"), "pieces")
     finally:
         conf.set(setting, before)
-    drop_spent_shuffles(docs.sparkSession)
+    remove(spark, f"{at}/kind=1")
+    drop_spent_shuffles(spark)
     gathered = blobs.groupBy(F.col("chunk").alias("of_chunk")).agg(F.collect_list(F.struct("steps", "counts", "pieces")).alias("blobs"))
     joined = chunks.select("chunk", "ids", "sizes", "crcs", "packed").join(gathered, F.col("chunk") == F.col("of_chunk"), "left").select("ids", "sizes", "crcs", "packed", "blobs")
 
