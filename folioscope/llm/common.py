@@ -54,9 +54,12 @@ def remove(spark: SparkSession, path: str) -> None:
 def drop_spent_shuffles(spark: SparkSession) -> None:
     """Let Spark remove the shuffle files of plans that nothing refers to any more; its cleaner follows the JVM's collector."""
     import gc
+    import time
 
     gc.collect()
     spark._jvm.System.gc()
+    time.sleep(1)  # the cleaner works beside us
+    spark._jvm.System.gc()
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:

@@ -26,7 +26,7 @@ import math
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from folioscope.llm.common import checkpoint, text_or_empty
+from folioscope.llm.common import checkpoint, stored, text_or_empty
 
 SPACE = "[\\x20\\x09-\\x0D]+"
 SYMBOLS = "#*$%&|<>"
@@ -39,8 +39,8 @@ RULES = {
 CUTOFFS = (0.9, 0.8, 0.7, 0.6, 0.5, 0.4, 0.3, 0.25, 0.2, 0.15, 0.1, 0.08, 0.06, 0.05, 0.04, 0.03, 0.02)
 #: Rows of cutoffs up to which they are broadcast; beyond, an ordinary join is planned.
 BROADCAST_ROWS = 10_000
-#: Rejected good labels up to which the binomial sum is taken term by term; beyond, Chernoff's bound is used, which is larger.
-EXACT_TERMS = 20_000
+#: Standard deviations below the observed count within which the terms of a binomial tail are summed; a geometric series bounds the rest.
+DEVIATIONS = 40
 _TEMP = "__quality_"
 
 
@@ -50,7 +50,7 @@ def measures(docs: DataFrame, text_col: str = "text", prefix: str = "") -> DataF
     words, lines, keys, bits = (F.col(t + x) for x in ("words", "lines", "keys", "bits"))
     text = F.col(t + "text")
     right, left = (lambda x, k, f=f: F.call_function(f, x, k) for f in ("shiftright", "shiftleft"))
-    # a window's hash with its place in the lowest bits: sorted, equal windows stand side by side
+    # a window's hash with its place in the lowest bits: sorted, windows that may be equal stand side by side
     window = lambda i: left(right(F.xxhash64(words[i], words[i + 1], words[i + 2]), bits), bits).bitwiseOR(i.cast("long"))
     same = lambda x, y: right(x, bits) == right(y, bits)
     place = lambda x: x.bitwiseAND(left(F.lit(1).cast("long"), bits) - 1).cast("int")
@@ -66,7 +66,14 @@ def measures(docs: DataFrame, text_col: str = "text", prefix: str = "") -> DataF
             F.filter(keys, lambda x, j: ((j > 0) & same(x, F.get(keys, j - 1))) | ((j < F.size(keys) - 1) & same(x, F.get(keys, j + 1)))),
         )
     )
-    covered = F.size(F.array_distinct(F.flatten(F.transform(F.col(t + "found"), lambda x: F.array(place(x), place(x) + 1, place(x) + 2)))))
+    # the few that may be equal are sorted by their words, so only equal windows count
+    by_words = F.array_sort(F.transform(F.col(t + "found"), lambda x: F.struct(words[place(x)].alias("a"), words[place(x) + 1].alias("b"), words[place(x) + 2].alias("c"), place(x).alias("at"))))
+    out = out.withColumn(t + "sorted", F.when(F.size(t + "found") > 0, by_words))
+    ranked = F.col(t + "sorted")
+    alike = lambda x, y: y.isNotNull() & (x["a"] == y["a"]) & (x["b"] == y["b"]) & (x["c"] == y["c"])
+    again = F.filter(ranked, lambda x, j: ((j > 0) & alike(x, F.get(ranked, j - 1))) | alike(x, F.get(ranked, j + 1)))
+    covered = F.coalesce(F.size(F.array_distinct(F.flatten(F.transform(again, lambda x: F.array(x["at"], x["at"] + 1, x["at"] + 2))))), F.lit(0))
+    covered = F.when(ranked.isNotNull(), covered).otherwise(0)
     columns = {
         "n_words": n,
         "word_chars": F.length(F.translate(text, " \t\n\x0b\x0c\r", "")),
@@ -91,21 +98,35 @@ def ratio(rule: str, prefix: str = "") -> Column:
     return F.expr(expr.replace("\0", prefix))
 
 
+def _stirling(x: Column) -> Column:
+    """log(x!) less Stirling's formula, of whole x from 1 on."""
+    d = x.cast("double")
+    small = F.log(F.factorial(F.least(x, F.lit(20)).cast("int")).cast("double")) - ((d + 0.5) * F.log(d) - d + 0.5 * math.log(2 * math.pi))
+    series = (1 / 12 - (1 / 360 - (1 / 1260 - (1 / 1680 - 1 / 1188 / (d * d)) / (d * d)) / (d * d)) / (d * d)) / d
+    return F.when(x <= 20, small).otherwise(series)
+
+
 def tail(k: Column, n: Column, p: float) -> Column:
-    """P(Binomial(n, p) <= k), or a bound above it, for k < p n; 1 otherwise."""
-    log_odds = math.log(p) - math.log1p(-p)
-    start = F.struct((n * math.log1p(-p)).alias("t"), (n * math.log1p(-p)).alias("s"))
+    """P(Binomial(n, p) <= k) for k < p n, to double precision at every size; 1 otherwise.
+
+    The largest term, that of k, comes from Loader's expansion; the others from their ratios, which fall.  Terms more
+    than ``DEVIATIONS`` below k are bounded by a geometric series and added, so the result is never too small.
+    """
+    kd, nd = k.cast("double"), n.cast("double")
+    away = lambda x, mean: x * F.log(x / mean) + mean - x
+    log_k = _stirling(n) - _stirling(k) - _stirling(n - k) - away(kd, nd * p) - away(nd - kd, nd * (1 - p)) + 0.5 * F.log(nd / (2 * math.pi * kd * (nd - kd)))
+    odds = (1 - p) / p
+    start = F.struct(F.lit(1.0).alias("t"), F.lit(1.0).alias("s"))
 
     def step(a: Column, i: Column) -> Column:
-        t = a["t"] + F.log((n - i + 1) / i) + log_odds
-        high = F.greatest(a["s"], t)
-        return F.struct(t.alias("t"), (high + F.log1p(F.exp(F.least(a["s"], t) - high))).alias("s"))
+        t = a["t"] * (i / (nd - i + 1)) * odds
+        return F.struct(t.alias("t"), (a["s"] + t).alias("s"))
 
-    terms = F.when(k > 0, F.sequence(F.lit(1).cast("long"), k)).otherwise(F.array().cast("array<bigint>"))
-    exact = F.exp(F.aggregate(terms, start, step, lambda a: a["s"]))
-    share = k / n
-    kl = F.when(k > 0, share * F.log(share / p)).otherwise(0.0) + (1 - share) * F.log((1 - share) / (1 - p))
-    return F.when(k >= p * n, F.lit(1.0)).when(k <= EXACT_TERMS, exact).otherwise(F.exp(-n * kl))
+    last = F.greatest(F.lit(1).cast("long"), k - F.ceil(F.sqrt(nd * p) * DEVIATIONS).cast("long"))
+    ratio_below = (last - 1) / (nd - last + 2) * odds
+    terms = F.aggregate(F.sequence(k, last, F.lit(-1).cast("long")), start, step)
+    total = terms["s"] + F.when(last > 1, terms["t"] * ratio_below / (1 - ratio_below)).otherwise(0.0)
+    return F.when(k >= p * n, F.lit(1.0)).when(k == 0, F.exp(nd * math.log1p(-p))).otherwise(F.exp(log_k) * total)
 
 
 def cutoffs(measured: DataFrame, labels: DataFrame, id_col: str, stratum_col: str, label_col: str = "quality", alpha: float = 0.06, delta: float = 0.05, min_good: int = 200) -> DataFrame:
@@ -155,11 +176,10 @@ def assess(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
 def keep_good(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", stratum_col: str = "lang", **options) -> DataFrame:
     """The rows of ``docs`` that are kept, with their own columns.
 
-    Texts are never moved: their measures are taken once for the cutoffs and once more where the row is read.
+    The measures are taken once and written beside the rows; the cutoffs read their columns, and the filter all of them.
     """
-    measured = checkpoint(measures(docs.select(id_col, stratum_col, text_col), text_col).drop(text_col))
-    chosen = cutoffs(measured, labels, id_col, stratum_col, **options)
     p = "__kept_"
-    # the row number keeps Catalyst from pushing the filter below the measures, which would take them again for each use
-    fixed = measures(docs, text_col, p).withColumn(p + "row", F.monotonically_increasing_id())
-    return judge(fixed, chosen, stratum_col, p).where(F.col(p + "kept") & (F.col(p + "row") >= 0)).select(*docs.columns)
+    names = [*("n_words word_chars n_symbols n_lines n_dup_lines n_repeat_words".split())]
+    rows = stored(measures(docs, text_col, p), "measured")
+    measured = rows.select(id_col, stratum_col, *(F.col(p + n).alias(n) for n in names))
+    return judge(rows, cutoffs(measured, labels, id_col, stratum_col, **options), stratum_col, p).where(p + "kept").select(*docs.columns)

@@ -14,11 +14,12 @@ a larger one is dealt over pairs of tiles of that size.  Components of the links
 found by :mod:`folioscope.llm.components`.
 
 Defined results: a null text is empty, and a text without words has fingerprint zero,
-which is linked like any other; repeated rows share their class; null ids keep a
-fingerprint and take part in a class but never name it (a class of null ids alone has
-a null component); an empty table gives an empty result.
+which is linked like any other; repeated rows share their class; rows that repeat an id
+are linked by their own texts only; null ids link like any but never name a component (one
+of null ids alone is null); an empty table gives an empty result; other columns are kept
+by :func:`keep_one` and not read.
 
-:func:`similar_groups` judges by the shingles themselves: see there.
+:func:`similar_classes` judges by the shingles themselves: see there.
 """
 
 from __future__ import annotations
@@ -67,42 +68,16 @@ def majority(hashes: np.ndarray) -> int:
     return int(np.packbits((2 * ones > len(hashes)).astype(np.uint8), bitorder="little").view("<i8")[0])
 
 
-def lane_keys(hashes: np.ndarray, lanes: int, members: int = 6) -> list[tuple[int, int]]:
-    """(key, majority of the hashes in it) for ``lanes`` residue classes of about ``members`` distinct hashes.
-
-    Classes are residues of the hash modulo a power of two near n / members; the next
-    nearest power is taken too, so that texts of similar size share one.
-    """
-    distinct = np.unique(hashes)
-    if not len(distinct):
-        return []
-    exact = float(np.log2(max(1.0, len(distinct) / members)))
-    low = int(exact)
-    out = []
-    for scale in {low, low + 1 if exact - low >= 0.5 else max(0, low - 1)}:
-        lane = (distinct >> np.uint64(7)) & np.uint64((1 << scale) - 1)
-        for k in range(min(lanes, 1 << scale)):
-            own = distinct[lane == k]
-            if len(own):
-                out.append((scale * 64 + k, majority(own)))
-    return out
-
-
-def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 4, lanes: int = 0) -> DataFrame:
-    """(doc_id, fp long, keys array<struct<key, value>>) of every row; ``keys`` holds the lanes, if any are asked for."""
+def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 4) -> DataFrame:
+    """(doc_id, fp long) of every row."""
     plain = docs.select(F.col(id_col).alias("doc_id"), text_or_empty(text_col).alias("text"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        kind = pa.list_(pa.struct([("key", pa.int32()), ("value", pa.int64())]))
         for batch in batches:
-            fps, keys = [], []
-            for text in batch.column(1):
-                h = shingle_hashes(text.as_py(), words)
-                fps.append(majority(h))
-                keys.append([{"key": k, "value": v} for k, v in lane_keys(h, lanes)] if lanes else None)
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(fps, pa.int64()), pa.array(keys, kind)], ["doc_id", "fp", "keys"])
+            fps = [majority(shingle_hashes(text.as_py(), words)) for text in batch.column(1)]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(fps, pa.int64())], ["doc_id", "fp"])
 
-    return plain.mapInArrow(run, f"doc_id {docs.schema[id_col].dataType.simpleString()}, fp long, keys array<struct<key:int,value:bigint>>")
+    return plain.mapInArrow(run, f"doc_id {docs.schema[id_col].dataType.simpleString()}, fp long")
 
 
 def forest(fps: np.ndarray, distance: int) -> tuple[np.ndarray, np.ndarray]:
@@ -193,37 +168,31 @@ def links(keyed: DataFrame, distance: int) -> DataFrame:
     return dealt.repartition(*by).sortWithinPartitions(*by).mapInArrow(run, "u long, v long").where("u != v")
 
 
-def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 4, distance: int = 4, lanes: int = 0) -> DataFrame:
-    """(doc_id, fp, component_id) of every row; ids must be integers.
+def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 4, distance: int = 4) -> DataFrame:
+    """(doc_id, fp, component_id) of every row: documents linked by chains of pairs at most ``distance`` bits apart.
 
-    ``lanes=0``: exactly the documents whose fingerprints are linked by chains of pairs
-    at most ``distance`` bits apart.  ``lanes=n``: the fingerprint is widened by n lanes,
-    each the SimHash of one residue class of the shingles; texts that share a lane are
-    candidates, verified by the distance of their 64-bit fingerprints.  That reaches
-    larger distances (a similarity of 0.8 is about 10 bits), for which blocks of 64
-    bits would be too short.
+    Links and components are over fingerprints; a component is then named by its smallest id.
     """
-    fps = checkpoint(fingerprints(docs, id_col, text_col, words, lanes))
-    classes = checkpoint(fps.groupBy("fp").agg(F.min("doc_id").cast("long").alias("node")))
-    if lanes:
-        lane = fps.select("fp", F.explode("keys").alias("k")).select("fp", "k.key", "k.value").distinct()
-        keyed = lane.join(classes.where("node is not null"), "fp").select("node", "fp", "key", "value")
-    else:
-        keyed = classes.where("node is not null").select("node", "fp", F.explode(block_keys(classes.count(), distance)).alias("k")).select("node", "fp", "k.key", "k.value")
+    fps = checkpoint(fingerprints(docs, id_col, text_col, words))
+    classes = checkpoint(fps.groupBy("fp").agg(F.min("doc_id").alias("least")))
+    keyed = classes.select(F.col("fp").alias("node"), "fp", F.explode(block_keys(classes.count(), distance)).alias("k")).select("node", "fp", "k.key", "k.value")
     found = components(links(keyed, distance))
-    named = classes.join(found, "node", "left").select(F.col("fp").alias("of_fp"), F.coalesce("component", "node").alias("component_id"))
+    member = classes.join(found, F.col("fp") == F.col("node"), "left").select(F.col("fp").alias("of_fp"), "least", F.coalesce("component", "fp").alias("component"))
+    member = checkpoint(member)
+    names = member.groupBy(F.col("component").alias("of_component")).agg(F.min("least").alias("component_id"))
+    named = member.join(names, F.col("component") == F.col("of_component")).select("of_fp", "component_id")
     return fps.join(named, F.col("fp") == F.col("of_fp")).select("doc_id", "fp", "component_id")
 
 
 def set_keys(hashes: np.ndarray, common: np.ndarray, least: float) -> np.ndarray:
-    """The first n - ceil(least n) + 1 of n distinct hashes, common ones last.
+    """The first n - ceil(least n) + 1 of n distinct hashes, common ones (a sorted array) last.
 
     Two sets with a similarity of at least ``least`` share one of these, whatever the order.
     """
     n = len(hashes)
     if not n:
         return hashes
-    last = np.isin(hashes, common)
+    last = common[np.minimum(np.searchsorted(common, hashes), len(common) - 1)] == hashes if len(common) else np.zeros(n, dtype=bool)
     return np.concatenate([hashes[~last], hashes[last]])[: n - math.ceil(least * n - 1e-9) + 1]
 
 
@@ -244,7 +213,7 @@ def common_shingles(docs: DataFrame, text_col: str, words: int) -> np.ndarray:
 
     found = docs.select(text_or_empty(text_col).alias("text")).sample(share, seed=7).mapInArrow(run, "hash long")
     top = found.groupBy("hash").agg(F.count("*").alias("n")).where(F.col("n") >= COMMON).orderBy(F.desc("n"), "hash").limit(1 << 16)
-    return np.array([r["hash"] for r in top.select("hash").collect()], dtype=np.int64).view(np.uint64)
+    return np.sort(np.array([r["hash"] for r in top.select("hash").collect()], dtype=np.int64).view(np.uint64))
 
 
 def close_to(at: int, others: np.ndarray, fps: np.ndarray, sizes: np.ndarray, sketches: np.ndarray, least: float) -> np.ndarray:
@@ -323,8 +292,11 @@ def candidate_pairs(dealt: DataFrame, least: float, crossing: bool) -> DataFrame
     return plain.repartition(*by).sortWithinPartitions(*by).mapInArrow(run, "u long, v long").where("u != v").distinct()
 
 
-def verified(pairs: DataFrame, docs: DataFrame, id_col: str, text_col: str, words: int, least: float) -> DataFrame:
-    """The pairs whose sets of shingles have a similarity of at least ``least``."""
+def verified(pairs: DataFrame, first: DataFrame, docs: DataFrame, words: int, least: float) -> DataFrame:
+    """The pairs of nodes whose sets of shingles have a similarity of at least ``least``.
+
+    ``first`` (node, least_id, least_sha) names a row of each node; ``docs`` has doc_id, text and sha.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -332,25 +304,33 @@ def verified(pairs: DataFrame, docs: DataFrame, id_col: str, text_col: str, word
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sets, pa.list_(pa.int64()))], ["of", "hashes"])
 
     ids = pairs.select(F.explode(F.array("u", "v")).alias("id")).distinct()
-    named = docs.select(F.col(id_col).cast("long").alias("of"), text_or_empty(text_col).alias("text"))
-    sets = stored(named.join(ids, F.col("of") == F.col("id"), "left_semi").mapInArrow(run, "of long, hashes array<bigint>"), "sets")
+    asked = first.join(ids, F.col("node") == F.col("id"), "left_semi")
+    texts = docs.join(asked, (F.col("sha") == F.col("least_sha")) & F.col("doc_id").eqNullSafe(F.col("least_id"))).select("node", "text")
+    # rows that repeat id and text give one set
+    sets = stored(texts.mapInArrow(run, "of long, hashes array<bigint>").dropDuplicates(["of"]), "sets")
     left, right = (sets.select(F.col("of").alias(f"of_{k}"), F.col("hashes").alias(f"set_{k}")) for k in "uv")
     both = pairs.join(left, F.col("u") == F.col("of_u")).join(right, F.col("v") == F.col("of_v"))
     common, total = F.size(F.array_intersect("set_u", "set_v")), F.size("set_u") + F.size("set_v")
     return checkpoint(both.where(common / (total - common) >= least).select("u", "v").distinct())
 
 
-def similar_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 5, least: float = 0.8) -> DataFrame:
-    """(doc_id, fp, component_id) of every row: documents linked by chains of pairs with a shingle similarity of at least ``least``.
+def with_sha(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """(doc_id, text, sha): what names a row of a table whose ids may repeat or be null."""
+    text = text_or_empty(text_col)
+    return docs.select(F.col(id_col).alias("doc_id"), text.alias("text"), F.sha1(text).alias("sha"))
+
+
+def similar_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 5, least: float = 0.8) -> DataFrame:
+    """(doc_id, sha, fp, component) of every row: documents linked by chains of pairs with a shingle similarity of at least ``least``.
 
     The similarity is that of the sets of ``words``-word shingles, taken exactly for every linked pair.  Texts with one
-    set are one class.  Classes that share one of their first shingles (:func:`set_keys`, which no similar pair misses)
-    are candidates if sizes, SimHash and parity sketches allow the similarity.  First a spanning forest of each group's
-    candidates is verified; then all candidates that its components don't connect yet.
+    set are one class, a node, whatever their ids.  Classes that share one of their first shingles (:func:`set_keys`,
+    which no similar pair misses) are candidates if sizes, SimHash and parity sketches allow the similarity.  First a
+    spanning forest of each group's candidates is verified; then all candidates that its components don't connect yet.
     """
     kind = docs.schema[id_col].dataType.simpleString()
     common = common_shingles(docs, text_col, words)
-    plain = docs.select(F.col(id_col).alias("doc_id"), text_or_empty(text_col).alias("text"))
+    plain = with_sha(docs, id_col, text_col)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from xxhash import xxh128_digest
@@ -364,13 +344,16 @@ def similar_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
                 pa.array([parity_sketch(s) for s in sets], pa.binary()),
                 pa.array([set_keys(s, common, least).view(np.int64) for s in sets], pa.list_(pa.int64())),
             ]
-            yield pa.RecordBatch.from_arrays([batch.column(0), *columns], ["doc_id", "fp", "n", "digest", "sketch", "keys"])
-
-    rows = stored(plain.mapInArrow(run, f"doc_id {kind}, fp long, n long, digest binary, sketch binary, keys array<bigint>"), "shingles")
-    classes = checkpoint(rows.groupBy("digest").agg(F.min("doc_id").cast("long").alias("node")))
-    first = classes.where("node is not null").select(F.col("digest").alias("of_digest"), "node")
-    own = rows.join(first, (F.col("digest") == F.col("of_digest")) & (F.col("doc_id") == F.col("node")))
-    keyed = own.select("node", F.explode("keys").alias("value"))
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), *columns], ["doc_id", "sha", "fp", "n", "digest", "sketch", "keys"])
+
+    rows = stored(plain.mapInArrow(run, f"doc_id {kind}, sha string, fp long, n long, digest binary, sketch binary, keys array<bigint>"), "shingles")
+    # of every class one row, by (null ids last, id, sha), and a number that is stored with it
+    lowest = F.min(F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "sha"))
+    classes = rows.groupBy("digest").agg(lowest.alias("row")).select("digest", F.col("row.doc_id").alias("least_id"), F.col("row.sha").alias("least_sha"), F.monotonically_increasing_id().alias("node"))
+    first = stored(classes, "classes")
+    named = first.select(F.col("digest").alias("of_digest"), "node", "least_id", "least_sha")
+    own = rows.join(named, (F.col("digest") == F.col("of_digest")) & (F.col("sha") == F.col("least_sha")) & F.col("doc_id").eqNullSafe(F.col("least_id")))
+    keyed = own.select("node", F.explode("keys").alias("value")).distinct()
     sizes = keyed.groupBy("value").agg(F.count("*").alias("members")).where("members > 1").select(F.col("value").alias("of_value"), F.ceil(F.col("members") / TILE).cast("int").alias("tiles"))
     shared = stored(keyed.join(sizes, F.col("value") == F.col("of_value")).select("node", "value", "tiles"), "shared")
     traits = stored(own.select(F.col("node").alias("of_node"), "fp", "n", "sketch").distinct(), "traits")
@@ -382,11 +365,41 @@ def similar_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
         return out.withColumn("a", F.least("tile", "other")).withColumn("b", F.greatest("tile", "other"))
 
     tested = checkpoint(candidate_pairs(dealt(traits.withColumn("component", F.col("of_node"))), least, crossing=False))
-    sure = verified(tested, docs, id_col, text_col, words, least)
+    sure = verified(tested, first, plain, words, least)
     found = components(sure)
     labelled = traits.join(found, F.col("of_node") == F.col("node"), "left").select("of_node", "fp", "n", "sketch", F.coalesce("component", "of_node").alias("component"))
     rest = checkpoint(candidate_pairs(dealt(labelled), least, crossing=True).join(tested, ["u", "v"], "left_anti"))
     if not rest.isEmpty():
-        found = components(sure.unionByName(verified(rest, docs, id_col, text_col, words, least)))
-    named = first.join(found, "node", "left").select("of_digest", F.coalesce("component", "node").alias("component_id"))
-    return rows.join(named, F.col("digest") == F.col("of_digest"), "left").select("doc_id", "fp", "component_id")
+        found = components(sure.unionByName(verified(rest, first, plain, words, least)))
+    member = first.join(found, "node", "left").select(F.col("digest").alias("of_digest"), F.coalesce("component", "node").alias("component"))
+    return rows.join(member, F.col("digest") == F.col("of_digest")).select("doc_id", "sha", "fp", "component")
+
+
+def leaders(classes: DataFrame) -> DataFrame:
+    """(component, row): of every component of :func:`similar_classes` the row (no_id, doc_id, sha) that stays."""
+    return classes.groupBy("component").agg(F.min(F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "sha")).alias("row"))
+
+
+def similar_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 5, least: float = 0.8) -> DataFrame:
+    """(doc_id, fp, component_id) of every row of :func:`similar_classes`; a component is named by its smallest id, or null without one."""
+    classes = checkpoint(similar_classes(docs, id_col, text_col, words, least))
+    names = leaders(classes).select(F.col("component").alias("of_component"), F.col("row.doc_id").alias("component_id"))
+    return classes.join(names, F.col("component") == F.col("of_component")).select("doc_id", "fp", "component_id")
+
+
+def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 5, least: float = 0.8) -> DataFrame:
+    """One row of ``docs`` of every group: the smallest id (null ids last), of equal ids the smallest SHA-1 of the text.
+
+    Of rows that repeat both, one stays, whatever their other columns.
+    """
+    kept = leaders(checkpoint(similar_classes(docs, id_col, text_col, words, least))).select(F.col("row.doc_id").alias("__id"), F.col("row.sha").alias("__sha"))
+    kept = checkpoint(kept)
+    same = (F.sha1(text_or_empty(text_col)) == F.col("__sha")) & F.col(id_col).eqNullSafe(F.col("__id"))
+    chosen = docs.join(kept, same, "left_semi")
+    key = [F.col(id_col).alias("__of_id"), F.sha1(text_or_empty(text_col)).alias("__of_sha")]
+    again = checkpoint(chosen.groupBy(*key).agg(F.count("*").alias("__n")).where("__n > 1"))
+    if again.isEmpty():
+        return chosen
+    repeats = (F.sha1(text_or_empty(text_col)) == F.col("__of_sha")) & F.col(id_col).eqNullSafe(F.col("__of_id"))
+    one = chosen.join(again, repeats, "left_semi").groupBy(*key).agg(F.min(F.struct(*docs.columns)).alias("__row")).select("__row.*")
+    return chosen.join(again, repeats, "left_anti").unionByName(one)

@@ -3,6 +3,8 @@
 import random
 
 import corpus_pipeline as cp
+from pyspark.sql import functions as F
+
 from folioscope.llm import simhash
 
 
@@ -67,3 +69,26 @@ def test_stage_keeps_what_is_below_and_drops_what_is_above(spark, sf):
     docs = spark.createDataFrame([(i, t, "en", "s", len(t)) for i, t in enumerate(texts)], "doc_id long, text string, lang string, source string, n_chars long")
     want = {i for i, c in brute(texts).items() if i == c}
     assert {r.doc_id for r in cp.near_dedup(spark, docs, sf).collect()} == want
+
+
+def test_components_are_over_fingerprints(spark, monkeypatch):
+    """A fingerprint of null ids bridges its neighbours, and rows that repeat an id don't."""
+    fps = {1: [(1, 0), (None, 0b1111), (2, 0b11111111)], 2: [(7, 0), (7, (1 << 62) - 1), (9, 1), (2, (1 << 62) - 2)]}
+    for rows in fps.values():
+        frame = spark.createDataFrame(rows, "doc_id long, fp long")
+        monkeypatch.setattr(simhash, "fingerprints", lambda *a, f=frame, **k: f)
+        got = sorted((r.fp, r.component_id) for r in simhash.near_duplicates(frame, distance=4).collect())
+        if rows[0][0] == 1:
+            assert got == [(0, 1), (0b1111, 1), (0b11111111, 1)]
+        else:
+            assert got == [(0, 7), (1, 7), ((1 << 62) - 2, 2), ((1 << 62) - 1, 2)]
+
+
+def test_keep_one_with_repeated_and_null_ids(spark):
+    a, b = " ".join(f"a{i}" for i in range(60)), " ".join(f"b{i}" for i in range(60))
+    rows = [(20, a, "x"), (20, b, "x"), (3, a + " end", "x"), (None, a, "y"), (None, "lone words of a null id here", "z"), (5, None, "n"), (6, "", "n"), (20, b, "x")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, sha string").withColumn("node", F.lit(1)).withColumn("component", F.lit(2))
+    kept = sorted(((r.doc_id is None, r.doc_id or 0), (r.text or "")[:3]) for r in simhash.keep_one(docs).collect())
+    assert kept == [((False, 3), "a0 "), ((False, 5), ""), ((False, 20), "b0 "), ((True, 0), "lon")]
+    assert simhash.keep_one(docs).columns == docs.columns
+    assert simhash.keep_one(docs.limit(0)).collect() == []
