@@ -1,29 +1,39 @@
 """Exact top-k search by inner product with a pivot-distance index.
 
 Index: every vector is keyed by its nearest pivot and its distance to it, and sorted by
-(pivot, distance, id); runs of ``BLOCK`` vectors in that order are annuli, stored as one
-matrix each with their range of distances, largest norm and smallest id.  Pivots are
-chosen by farthest-first traversal of a bounded sample (``SAMPLE`` rows with the lowest
-hash of the id); every vector is indexed.
+(pivot, distance, id); runs of vectors in that order are annuli, stored as one matrix
+each with their range of distances, largest norm and smallest id.  Pivots are chosen by
+farthest-first traversal of a bounded sample (``SAMPLE`` rows with the lowest hash of the
+id); their number grows with the square root of the table up to ``PIVOTS``; every vector
+is indexed.  An annulus holds ``BLOCK`` vectors, or more on tables so large that there
+would be over ``ANNULI`` of them; so the directory of annuli, without their vectors, is
+small enough to be sent to every task (about 50 MB at most, below 7e10 vectors).
 
 Search: for a query q and a vector x of an annulus around pivot p the triangle inequality
 gives |q - x| >= gap, the distance of d(q, p) from the annulus, hence
-q.x = (|q|^2 + |x|^2 - |q - x|^2) / 2 <= (|q|^2 + max |x|^2 - gap^2) / 2.  Every query
-visits annuli in the order of this bound, first the best one and then four times as many
-each round, and stops when no annulus left can reach its k-th score.  Components are
-integers, so scores and squared distances are exact and so is the result.
+q.x = (|q|^2 + |x|^2 - |q - x|^2) / 2 <= (|q|^2 + max |x|^2 - gap^2) / 2.  A query has a
+cursor at every pivot, which starts at its own distance and walks outward in both
+directions; the cursor with the best bound moves next.  A query visits one annulus, then
+four times as many each round, and stops when no cursor can reach its k-th score.  No
+query ever meets the whole directory row by row.  Components are integers, so scores and
+squared distances are exact and so is the result.
 
 Queries and annuli meet in blocks: the queries of an annulus are gathered in groups of
-about ``GROUP``, and a group yields at most k rows a query.
+about ``GROUP``, and a group yields at most k rows a query.  Vectors travel in the
+smallest integer type that holds them.
 
 Defined results: vectors that are null, or hold a null or non-finite component, or have a
-null id take no part; repeated rows of one id count once (the smallest vector); shorter
-vectors count as padded with zeros, so an empty one scores 0; ties go to smaller ids;
-with fewer than k others all are returned; an empty table gives an empty result.
+null id take no part; rows that repeat an id are candidates and queries of their own, and
+one id's queries share its k places, none of which goes to a row of that id; shorter
+vectors count as padded with zeros, so an empty one scores 0; ties go to smaller ids; with
+fewer than k others all are returned; components so large that a score might not fit in a
+long raise OverflowError; an empty table gives an empty result; other columns are not read.
 """
 
 from __future__ import annotations
 
+import heapq
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -34,7 +44,7 @@ from pyspark.sql import functions as F
 
 from folioscope.llm.common import checkpoint
 
-SAMPLE, PIVOTS, BLOCK, GROUP, GROWTH = 2048, 32, 1024, 512, 4
+SAMPLE, PIVOTS, LEAST_PIVOTS, BLOCK, ANNULI, GROUP, GROWTH = 2048, 1024, 32, 1024, 1 << 20, 512, 4
 #: Products below this are exact in double precision.
 _EXACT = 1 << 52
 
@@ -44,11 +54,15 @@ def quantized(vectors: DataFrame, id_col: str, vector_col: str, scale: float = 2
     x = F.col(vector_col)
     bad = F.exists(x, lambda a: a.isNull() | F.isnan(a) | (F.abs(a) == float("inf")))
     usable = vectors.where(F.col(id_col).isNotNull() & x.isNotNull() & ~F.coalesce(bad, F.lit(True)))
-    return usable.groupBy(F.col(id_col).cast("long").alias("id")).agg(F.min(F.transform(x, lambda a: F.floor(F.lit(scale) * a.cast("double")))).alias("v"))
+    return usable.select(F.col(id_col).cast("long").alias("id"), F.transform(x, lambda a: F.floor(F.lit(scale) * a.cast("double"))).alias("v"))
 
 
-def _matrix(column: pa.Array, dims: int) -> np.ndarray:
-    return np.frombuffer(b"".join(column.to_pylist()), dtype="<i8").reshape(-1, dims)
+def smallest_type(largest: int) -> str:
+    return next((f"<i{n}" for n in (2, 4) if largest < 1 << (8 * n - 1)), "<i8")
+
+
+def _matrix(column: pa.Array, dims: int, kind: str) -> np.ndarray:
+    return np.frombuffer(b"".join(column.to_pylist()), dtype=kind).reshape(-1, dims).astype(np.int64)
 
 
 def _dots(a: np.ndarray, b: np.ndarray) -> np.ndarray:
@@ -71,34 +85,36 @@ def choose_pivots(sample: np.ndarray, count: int) -> np.ndarray:
     return sample[chosen]
 
 
-def _pack(dims: int):
-    """Column function: the vector as little-endian bytes, padded."""
-    @F.pandas_udf("binary")
-    def run(v):
-        out = []
-        for row in v:
-            a = np.zeros(dims, dtype="<i8")
-            a[: len(row)] = row
-            out.append(a.tobytes())
-        return v.__class__(out, index=v.index, dtype=object)
+def packed_rows(vectors: DataFrame, dims: int, kind: str) -> DataFrame:
+    """(id, v binary): each vector as little-endian integers of type ``kind``, padded."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            lists = batch.column(1)
+            sizes = lists.value_lengths().to_numpy()
+            flat = np.zeros(len(sizes) * dims, dtype=kind)
+            row = np.repeat(np.arange(len(sizes)), sizes)
+            flat[row * dims + np.arange(len(row)) - np.repeat(np.cumsum(sizes) - sizes, sizes)] = lists.flatten().to_numpy(zero_copy_only=False)
+            step = dims * flat.itemsize
+            data = flat.tobytes()
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([data[i : i + step] for i in range(0, len(data), step)], pa.binary())], ["id", "v"])
 
-    return run
+    return vectors.mapInArrow(run, "id long, v binary")
 
 
-def build_index(vectors: DataFrame, pivots: np.ndarray, dims: int, rows: int) -> tuple[DataFrame, DataFrame]:
-    """(keyed, annuli): keyed holds id, v, pivot, dist2, norm2, to_pivots of every vector."""
+def build_index(vectors: DataFrame, pivots: np.ndarray, dims: int, kind: str, rows: int, block_rows: int) -> tuple[DataFrame, DataFrame]:
+    """(keyed, annuli): keyed holds id, v, pivot, dist2, norm2 of every vector."""
     def key(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        p2 = (pivots.astype(object) ** 2).sum(axis=1).astype(np.int64)
+        p2 = (pivots * pivots).sum(axis=1)
         for batch in batches:
             if not batch.num_rows:
                 continue
-            x = _matrix(batch.column(1), dims)
+            x = _matrix(batch.column(1), dims, kind)
             norm2 = (x * x).sum(axis=1)
             d2 = norm2[:, None] + p2 - 2 * _dots(x, pivots)
             near = d2.argmin(axis=1)
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(near.astype(np.int32)), pa.array(d2[np.arange(len(x)), near]), pa.array(norm2), pa.array(d2.tolist(), pa.list_(pa.int64()))], ["id", "v", "pivot", "dist2", "norm2", "to_pivots"])
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(near.astype(np.int32)), pa.array(d2[np.arange(len(x)), near]), pa.array(norm2)], ["id", "v", "pivot", "dist2", "norm2"])
 
-    keyed = checkpoint(vectors.mapInArrow(key, "id long, v binary, pivot int, dist2 long, norm2 long, to_pivots array<bigint>"))
+    keyed = checkpoint(vectors.mapInArrow(key, "id long, v binary, pivot int, dist2 long, norm2 long"))
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         names = ["annulus", "pivot", "near2", "far2", "norm2", "least", "ids", "vs"]
@@ -120,7 +136,7 @@ def build_index(vectors: DataFrame, pivots: np.ndarray, dims: int, rows: int) ->
             t = pa.concat_tables([held, t]) if held is not None else t
             pivot = t.column("pivot").to_numpy()
             starts = np.concatenate(([0], np.nonzero(np.diff(pivot))[0] + 1, [len(pivot)]))
-            pieces = [(a, min(a + BLOCK, hi)) for lo, hi in zip(starts, starts[1:]) for a in range(lo, hi, BLOCK)]
+            pieces = [(a, min(a + block_rows, hi)) for lo, hi in zip(starts, starts[1:]) for a in range(lo, hi, block_rows)]
             if not pieces:
                 continue
             if len(pieces) > 1:
@@ -129,41 +145,103 @@ def build_index(vectors: DataFrame, pivots: np.ndarray, dims: int, rows: int) ->
         if held is not None and len(held):
             yield emit([block(held)])
 
-    parts = max(1, -(-rows // (8 * BLOCK)))
-    annuli = keyed.select("id", "v", "pivot", "dist2", "norm2").repartitionByRange(parts, "pivot", "dist2", "id").sortWithinPartitions("pivot", "dist2", "id").mapInArrow(cut, "annulus long, pivot int, near2 long, far2 long, norm2 long, least long, ids binary, vs binary")
+    parts = max(1, -(-rows // (8 * block_rows)))
+    annuli = keyed.repartitionByRange(parts, "pivot", "dist2", "id").sortWithinPartitions("pivot", "dist2", "id").mapInArrow(cut, "annulus long, pivot int, near2 long, far2 long, norm2 long, least long, ids binary, vs binary")
     return keyed, checkpoint(annuli)
 
 
-def _bound() -> Column:
-    d = F.sqrt(F.col("q_d2").cast("double"))
-    gap = F.greatest(F.lit(0.0), d - F.sqrt(F.col("far2").cast("double")), F.sqrt(F.col("near2").cast("double")) - d)
-    both = F.col("q_norm2") + F.col("norm2")
-    return F.floor((both - gap * gap) / 2 + both * 1e-9 + 1e-6).cast("long")
-
-
-def search(vectors: DataFrame, queries: Column, k: int = 5, id_col: str = "vec_id", vector_col: str = "embedding", scale: float = 256.0, pivots: int = PIVOTS) -> DataFrame:
+class Directory:
+    """The annuli of every pivot in order of distance, without their vectors."""
+
+    def __init__(self, table: pa.Table, pivots: np.ndarray):
+        self.pivots, self.p2 = pivots, (pivots * pivots).sum(axis=1)
+        pivot, near2, far2, annulus = (table.column(c).to_numpy() for c in ("pivot", "near2", "far2", "annulus"))
+        order = np.lexsort((annulus, far2, near2, pivot))
+        self.annulus, self.norm2, self.least = (table.column(c).to_numpy()[order] for c in ("annulus", "norm2", "least"))
+        self.near, self.far = np.sqrt(near2[order].astype(float)), np.sqrt(far2[order].astype(float))
+        self.ends = np.searchsorted(pivot[order], np.arange(len(pivots) + 1))
+        self.most = np.array([self.norm2[a:b].max(initial=0) for a, b in zip(self.ends, self.ends[1:])])
+
+    def walk(self, q: np.ndarray, kth: int | None, kth_id: int | None, walked: int, batch: int) -> tuple[list[int], int]:
+        """Up to ``batch`` annuli that may hold better vectors, after the first ``walked`` in order of their pivots' bounds; the new count."""
+        q2 = int((q * q).sum())
+        d = np.sqrt((q2 + self.p2 - 2 * (self.pivots @ q)).astype(float)).tolist()
+
+        def bound(norm2: int, gap: float) -> int:
+            both = q2 + norm2
+            return math.floor((both - gap * gap) / 2 + both * 1e-9 + 1e-6)
+
+        heap: list[tuple[int, int, int, int]] = []
+
+        def offer(p: int, at: int, step: int) -> None:
+            if self.ends[p] <= at < self.ends[p + 1]:
+                gap = max(0.0, d[p] - float(self.far[at]), float(self.near[at]) - d[p])
+                heapq.heappush(heap, (-bound(int(self.most[p]), gap), p, at, step))
+
+        for p in range(len(d)):
+            start = int(self.ends[p] + np.searchsorted(self.near[self.ends[p] : self.ends[p + 1]], d[p], side="right"))
+            offer(p, start - 1, -1)
+            offer(p, start, 1)
+        out, seen = [], 0
+        while heap and len(out) < batch:
+            best, p, at, step = heapq.heappop(heap)
+            if kth is not None and -best < kth:
+                break
+            seen += 1
+            offer(p, at + step, step)
+            if seen > walked:
+                own = bound(int(self.norm2[at]), max(0.0, d[p] - float(self.far[at]), float(self.near[at]) - d[p]))
+                if kth is None or own > kth or (own == kth and self.least[at] < kth_id):
+                    out.append(int(self.annulus[at]))
+        return out, max(seen, walked)
+
+
+def search(vectors: DataFrame, queries: Column, k: int = 5, id_col: str = "vec_id", vector_col: str = "embedding", scale: float = 256.0, pivots: int | None = None) -> DataFrame:
     """(query_id, rank, id, score): the k best others of every vector whose id satisfies ``queries``, a condition on ``id``."""
     whole = quantized(vectors, id_col, vector_col, scale)
-    dims, rows = whole.agg(F.coalesce(F.max(F.size("v")), F.lit(0)), F.count("*")).first()
-    dims = max(1, dims)
-    packed = checkpoint(whole.select("id", _pack(dims)("v").alias("v")))
-    sample = packed.orderBy(F.xxhash64("id"), "id").limit(SAMPLE).collect()
-    empty = packed.sparkSession.createDataFrame([], "query_id long, rank int, id long, score long")
-    if not sample:
+    largest = F.max(F.array_max(F.transform("v", lambda a: F.abs(a.cast("double")))))
+    dims, rows, most = whole.agg(F.coalesce(F.max(F.size("v")), F.lit(0)), F.count("*"), F.coalesce(largest, F.lit(0.0))).first()
+    dims, most = max(1, dims), int(most)
+    if most**2 * dims >= 1 << 61:
+        raise OverflowError("components are too large for scores in a long")
+    kind = smallest_type(most)
+    empty = vectors.sparkSession.createDataFrame([], "query_id long, rank int, id long, score long")
+    if not rows:
         return empty
-    chosen = choose_pivots(np.frombuffer(b"".join(r["v"] for r in sample), dtype="<i8").reshape(-1, dims), pivots)
-    keyed, annuli = build_index(packed, chosen, dims, rows)
-    asked = checkpoint(keyed.where(queries).select(F.col("id").alias("q"), F.col("v").alias("q_v"), F.col("norm2").alias("q_norm2"), "to_pivots"))
-    groups = max(1, -(-asked.count() // GROUP))
-    directory = annuli.select("annulus", "pivot", "near2", "far2", "norm2", "least")
+    packed = checkpoint(packed_rows(whole, dims, kind))
+    sample = packed.orderBy(F.xxhash64("id"), "id").limit(SAMPLE).collect()
+    count = pivots or min(PIVOTS, max(LEAST_PIVOTS, math.isqrt(rows // BLOCK)))
+    chosen = choose_pivots(np.frombuffer(b"".join(r["v"] for r in sample), dtype=kind).reshape(-1, dims).astype(np.int64), count)
+    keyed, annuli = build_index(packed, chosen, dims, kind, rows, max(BLOCK, -(-rows // ANNULI)))
+    directory = Directory(annuli.select("annulus", "pivot", "near2", "far2", "norm2", "least").toArrow(), chosen)
+    shared = vectors.sparkSession.sparkContext.broadcast(directory)
+    asked = keyed.where(queries).select(F.monotonically_increasing_id().alias("row"), F.col("id").alias("q"), F.col("v").alias("q_v"))
+    none = F.lit(None).cast("long")
+    state = checkpoint(asked.select("*", none.alias("kth"), none.alias("kth_id"), F.lit(0).cast("long").alias("walked")))
+    groups = max(1, -(-state.count() // GROUP))
+
+    def visits_of(batch_size: int):
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                if not batch.num_rows:
+                    continue
+                found, at = [], []
+                for r, (v, kth, kth_id, walked) in enumerate(zip(_matrix(batch.column(2), dims, kind), *(batch.column(c).to_pylist() for c in (3, 4, 5)), strict=True)):
+                    annuli_, seen = shared.value.walk(v, kth, kth_id, walked, batch_size)
+                    found += [(a, seen) for a in annuli_]
+                    at += [r] * len(annuli_)
+                take = pa.array(at, pa.int64())
+                yield pa.RecordBatch.from_arrays([*(batch.column(c).take(take) for c in range(3)), pa.array([f[0] for f in found], pa.int64()), pa.array([f[1] for f in found], pa.int64())], ["row", "q", "q_v", "annulus", "seen"])
+
+        return run
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             out: list[tuple] = []
             for ids, vs, asks in zip(*(c.to_pylist() for c in batch.columns), strict=True):
                 ids = np.frombuffer(ids, dtype="<i8")
-                x = np.frombuffer(vs, dtype="<i8").reshape(-1, dims)
-                qs = np.frombuffer(b"".join(a["q_v"] for a in asks), dtype="<i8").reshape(-1, dims)
+                x = np.frombuffer(vs, dtype=kind).reshape(-1, dims).astype(np.int64)
+                qs = np.frombuffer(b"".join(a["q_v"] for a in asks), dtype=kind).reshape(-1, dims).astype(np.int64)
                 for a, s in zip(asks, _dots(qs, x), strict=True):
                     other = ids != a["q"]
                     s, i = s[other], ids[other]
@@ -171,35 +249,30 @@ def search(vectors: DataFrame, queries: Column, k: int = 5, id_col: str = "vec_i
                         keep = s >= np.partition(s, len(s) - k)[len(s) - k]
                         s, i = s[keep], i[keep]
                     order = np.lexsort((i, -s))[:k]
-                    out += [(a["q"], int(i[n]), int(s[n])) for n in order]
-            yield pa.RecordBatch.from_arrays([pa.array([r[n] for r in out], pa.int64()) for n in range(3)], ["q", "id", "score"])
+                    out += [(a["row"], a["q"], int(i[n]), int(s[n])) for n in order]
+            yield pa.RecordBatch.from_arrays([pa.array([r[n] for r in out], pa.int64()) for n in range(4)], ["row", "q", "id", "score"])
 
-    ranked = Window.partitionBy("q").orderBy(F.desc("score"), "id")
-    state = asked.select("q", "q_v", "q_norm2", "to_pivots", F.lit(None).cast("long").alias("kth"), F.lit(None).cast("long").alias("kth_id"), F.lit(None).cast("long").alias("last"), F.lit(None).cast("long").alias("last_annulus"))
+    ranked = Window.partitionBy("row").orderBy(F.desc("score"), "id")
     best, batch = None, 1
     while True:
-        spread = state.select("q", "q_v", "q_norm2", "kth", "kth_id", "last", "last_annulus", F.posexplode("to_pivots").alias("q_pivot", "q_d2"))
-        met = spread.join(directory, F.col("pivot") == F.col("q_pivot")).withColumn("bound", _bound())
-        open_ = F.col("kth").isNull() | (F.col("bound") > F.col("kth")) | ((F.col("bound") == F.col("kth")) & (F.col("least") < F.col("kth_id")))
-        ahead = F.col("last").isNull() | (F.col("bound") < F.col("last")) | ((F.col("bound") == F.col("last")) & (F.col("annulus") > F.col("last_annulus")))
-        next_ = met.where(open_ & ahead).withColumn("n", F.row_number().over(Window.partitionBy("q").orderBy(F.desc("bound"), "annulus"))).where(F.col("n") <= batch)
-        visits = checkpoint(next_.select("q", "q_v", "annulus", "bound"))
+        visits = checkpoint(state.mapInArrow(visits_of(batch), "row long, q long, q_v binary, annulus long, seen long"))
         if visits.isEmpty():
             break
-        gathered = visits.groupBy("annulus", F.pmod(F.xxhash64("q"), F.lit(groups)).alias("g")).agg(F.collect_list(F.struct("q", "q_v")).alias("asks"))
-        found = gathered.withColumnRenamed("annulus", "of_annulus").join(annuli.select("annulus", "ids", "vs"), F.col("annulus") == F.col("of_annulus")).select("ids", "vs", "asks").mapInArrow(score, "q long, id long, score long")
-        new = found if best is None else found.unionByName(best.select("q", "id", "score"))
+        gathered = visits.groupBy("annulus", F.pmod(F.xxhash64("row"), F.lit(groups)).alias("g")).agg(F.collect_list(F.struct("row", "q", "q_v")).alias("asks"))
+        found = gathered.withColumnRenamed("annulus", "of_annulus").join(annuli.select("annulus", "ids", "vs"), F.col("annulus") == F.col("of_annulus")).select("ids", "vs", "asks").mapInArrow(score, "row long, q long, id long, score long")
+        new = found if best is None else found.unionByName(best.select("row", "q", "id", "score"))
         best = checkpoint(new.withColumn("rank", F.row_number().over(ranked)).where(F.col("rank") <= k))
-        reached = visits.groupBy(F.col("q").alias("r_q")).agg(F.min(F.struct("bound", (-F.col("annulus")).alias("minus"))).alias("r"))
-        kth = best.where(F.col("rank") == k).select(F.col("q").alias("k_q"), F.col("score").alias("kth"), F.col("id").alias("kth_id"))
+        reached = visits.groupBy(F.col("row").alias("r_row")).agg(F.max("seen").alias("seen"))
+        kth = best.where(F.col("rank") == k).select(F.col("row").alias("k_row"), F.col("score").alias("kth"), F.col("id").alias("kth_id"))
         # a query without visits this round has stopped
         state = checkpoint(
-            state.drop("kth", "kth_id", "last", "last_annulus")
-            .join(reached, F.col("q") == F.col("r_q"))
-            .join(kth, F.col("q") == F.col("k_q"), "left")
-            .select("q", "q_v", "q_norm2", "to_pivots", "kth", "kth_id", F.col("r.bound").alias("last"), (-F.col("r.minus")).alias("last_annulus"))
+            state.drop("kth", "kth_id", "walked")
+            .join(reached, F.col("row") == F.col("r_row"))
+            .join(kth, F.col("row") == F.col("k_row"), "left")
+            .select("row", "q", "q_v", "kth", "kth_id", F.col("seen").alias("walked"))
         )
         batch *= GROWTH
     if best is None:
         return empty
-    return best.select(F.col("q").alias("query_id"), F.col("rank").cast("int").alias("rank"), "id", "score")
+    place = F.row_number().over(Window.partitionBy("q").orderBy(F.desc("score"), "id")).cast("int")
+    return best.select("q", "id", "score", place.alias("place")).where(F.col("place") <= k).select(F.col("q").alias("query_id"), F.col("place").alias("rank"), "id", "score")

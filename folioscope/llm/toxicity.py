@@ -9,8 +9,8 @@ of word beginnings, with a vocabulary of those most associated with a category.
 The label table has two flags, so the chain of the query is low quality, then toxicity;
 :func:`train` takes any list of label columns.
 
-Training uses at most ``max_labelled`` labelled rows (those with the lowest hash of the
-id), a bound that also makes the broadcast of their ids safe; what comes to the driver is
+Training uses at most ``max_labelled`` labelled ids (those with the lowest hash) and as
+many rows of them, a bound that also makes the broadcast of the ids safe; what comes to the driver is
 at most that many lists of at most ``vocabulary`` word numbers.  Scoring reads every
 text once, where it lies.
 
@@ -56,12 +56,16 @@ class Chain:
     biases: np.ndarray
     cutoffs: np.ndarray
 
-    def probabilities(self, text: str | None) -> np.ndarray:
-        at = [self.vocabulary[w] for w in self.vocabulary.keys() & words_of(text)]
-        sums = self.weights[:, at].sum(axis=1) + self.biases
-        out = np.zeros(len(self.categories))
-        for c in range(len(out)):
-            out[c] = 1 / (1 + np.exp(-np.clip(sums[c] + self.links[c] @ out[:c], -30, 30)))
+    def probabilities(self, texts: list[str | None]) -> np.ndarray:
+        """One row a text, one column a category: a sparse product with the weights, then the links in order."""
+        known = self.vocabulary
+        at = [[known[w] for w in known.keys() & words_of(t)] for t in texts]
+        rows = np.repeat(np.arange(len(at)), [len(x) for x in at])
+        cols = np.array([k for x in at for k in x], dtype=np.int64)
+        out = np.zeros((len(at), len(self.categories)))
+        for c in range(len(self.categories)):
+            z = np.bincount(rows, weights=self.weights[c][cols], minlength=len(at)) + self.biases[c] + out[:, :c] @ self.links[c]
+            out[:, c] = 1 / (1 + np.exp(-np.clip(z, -30, 30)))
         return out
 
 
@@ -120,7 +124,9 @@ def train(docs: DataFrame, labels: DataFrame, categories: tuple[str, ...], id_co
         return texts.map(lambda t: sorted(words_of(t)))
 
     fold = F.pmod(F.xxhash64(F.col("id"), F.lit("fold")), F.lit(folds)).cast("int").alias("fold")
-    known = checkpoint(text.join(F.broadcast(sample), F.col("id") == F.col("of_id")).select(fold, *(f"y{i}" for i in c_all), terms("text").alias("terms")))
+    # documents may repeat an id, so the rows are bounded too
+    matched = text.join(F.broadcast(sample), F.col("id") == F.col("of_id")).orderBy(F.xxhash64("id", "text"), "id").limit(max_labelled)
+    known = checkpoint(matched.select(fold, *(f"y{i}" for i in c_all), terms("text").alias("terms")))
     totals = known.groupBy("fold").agg(F.count("*").alias("n"), *(F.sum(f"y{i}").alias(f"y{i}") for i in c_all)).collect()
     n_f = {r["fold"]: r["n"] for r in totals}
     y_f = {(r["fold"], i): r[f"y{i}"] for r in totals for i in c_all}
@@ -190,7 +196,7 @@ def score(docs: DataFrame, chain: Chain, text_col: str = "text", to: str = "prob
 
     @F.pandas_udf("array<double>")
     def run(texts: pd.Series) -> pd.Series:
-        return texts.map(lambda t: chain.probabilities(t).round(9).tolist())
+        return pd.Series(chain.probabilities(texts.tolist()).round(9).tolist(), index=texts.index, dtype=object)
 
     return docs.withColumn(to, run(text_or_empty(text_col)))
 

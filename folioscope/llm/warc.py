@@ -32,6 +32,8 @@ from pyspark.sql import functions as F
 
 #: Bytes of members after which a task goes on in a new file.
 ROLL_BYTES = 64 << 20
+#: Bytes within which a record's header must end; tasks over which the members of one digest are dealt.
+HEADER_BYTES, SALTS = 1 << 16, 32
 _MAGIC, _VERSION = b"\x1f\x8b\x08", b"WARC/1."
 _PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 _DATE = "1970-01-01T00:00:00Z"
@@ -82,15 +84,15 @@ class BadRecord(ValueError):
     """A check failed; the message names it."""
 
 
-def parse_record(data: bytes) -> tuple[dict, int]:
-    """Fields of the record at the start of ``data`` and the bytes it takes; raises BadRecord."""
-    if not data.startswith(_VERSION):
+def parse_record(data: bytes, start: int = 0) -> tuple[dict, int]:
+    """Fields of the record at ``start`` of ``data`` and the end of its bytes; raises BadRecord.  Only the record is copied."""
+    if not data.startswith(_VERSION, start):
         raise BadRecord("no version line")
-    end = data.find(b"\r\n\r\n")
+    end = data.find(b"\r\n\r\n", start, start + HEADER_BYTES)
     if end < 0:
         raise BadRecord("header does not end")
     named = {}
-    for line in data[:end].decode("utf-8", "replace").split("\r\n")[1:]:
+    for line in data[start:end].decode("utf-8", "replace").split("\r\n")[1:]:
         key, colon, value = line.partition(":")
         if not colon:
             raise BadRecord("header line without a colon")
@@ -117,7 +119,7 @@ def parse_record(data: bytes) -> tuple[dict, int]:
     return {"record_type": kind, "record_id": named.get("warc-record-id"), "url": named.get("warc-target-uri"), "source_id": number["x-source-id"], "refers_to_id": named.get("warc-refers-to"), "refers_to": number["x-refers-to-source-id"], "payload_digest": digest, "payload_bytes": size, "payload": body}, end + 8 + n
 
 
-def _at(data: memoryview, start: int) -> tuple[dict, int]:
+def _at(data: bytes, start: int) -> tuple[dict, int]:
     """The record, compressed or not, at ``start``; the end of its bytes."""
     if data[start : start + 3] == _MAGIC:
         unpack, out, pos = zlib.decompressobj(31), [], start
@@ -133,19 +135,17 @@ def _at(data: memoryview, start: int) -> tuple[dict, int]:
         if used != len(raw):
             raise BadRecord("member holds more than a record")
         return found, min(pos, len(data)) - len(unpack.unused_data)
-    if data[start : start + len(_VERSION)] == _VERSION:
-        whole = bytes(data[start:])
-        found, used = parse_record(whole)
-        return found, start + used
+    if data.startswith(_VERSION, start):
+        return parse_record(data, start)
     raise BadRecord("neither a member nor a version line")
 
 
 def salvage(content: bytes) -> Iterator[tuple[int, int, dict | None, str | None]]:
     """(start, end, record, None) of every valid record and (start, end, None, reason) of every quarantined gap."""
-    data, pos, gap, why = memoryview(content), 0, None, ""
+    pos, gap, why = 0, None, ""
     while pos < len(content):
         try:
-            found, end = _at(data, pos)
+            found, end = _at(content, pos)
         except BadRecord as e:
             if gap is None:
                 gap, why = pos, str(e)
@@ -178,7 +178,10 @@ def write_archives(pages: DataFrame, path: str, id_col: str = "page_id", url_col
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(shas, pa.string()), pa.array(sizes, pa.int32()), pa.array(members, pa.binary())], ["id", "url", "sha", "n", "member"])
 
     made = own.mapInArrow(build, "id long, url string, sha string, n int, member binary")
-    joined = made.join(winners, (F.col("sha") == F.col("of_sha")) & (F.col("n") == F.col("of_n"))).select("id", "url", "sha", "n", "member", "winner")
+    # a common payload is dealt over SALTS tasks; of the winners only small rows are repeated
+    salted = winners.withColumn("of_salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    made = made.withColumn("salt", F.pmod(F.xxhash64("id", "url"), F.lit(SALTS)).cast("int"))
+    joined = made.join(salted, (F.col("sha") == F.col("of_sha")) & (F.col("n") == F.col("of_n")) & (F.col("salt") == F.col("of_salt"))).select("id", "url", "sha", "n", "member", "winner")
 
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyarrow import fs
@@ -223,10 +226,12 @@ def read_archives(files: DataFrame, path: str | None = None, with_payload: bool
     """One row for every valid record and every quarantined gap (``gap`` names the failed check).
 
     ``files`` has the column ``file``: names below ``path`` or, without one, whole URIs;
-    or it has ``path`` and ``content`` as Spark's binaryFile source gives them.
+    or it has ``path`` and ``content`` as Spark's binaryFile source gives them.  With a
+    column ``records``, a file must hold so many valid records and no gap, or the job fails.
     """
     inline = "content" in files.columns
-    chosen = files.select(F.col("path").alias("file"), "content") if inline else files.select("file")
+    chosen = files.select(F.col("path").alias("file"), "content") if inline else files.select("file", *(["records"] if "records" in files.columns else []))
+    counted = "records" in files.columns
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyarrow import fs
@@ -240,11 +245,15 @@ def read_archives(files: DataFrame, path: str | None = None, with_payload: bool
                     with store.open_input_stream(at, compression=None) as f:
                         content = f.read()
                 held: list[tuple] = []
+                valid = gaps = 0
                 for x in salvage(content):
+                    valid, gaps = valid + (x[2] is not None), gaps + (x[2] is None)
                     held.append((name, *x))
                     if len(held) == 512:
                         yield _rows(held, with_payload)
                         held = []
+                if counted and (gaps or valid != batch.column(1)[k].as_py()):
+                    raise ValueError(f"{name}: {valid} records and {gaps} gaps, but {batch.column(1)[k]} records were written")
                 yield _rows(held, with_payload)
 
     return chosen.mapInArrow(run, _ROWS)
@@ -254,5 +263,5 @@ def round_trip(pages: DataFrame, path: str, spark: SparkSession, **options) -> D
     """Writes the pages and reads the archives back: one row a record."""
     manifest = write_archives(pages, path, **options)
     # a task reads one file at a time; names are dealt out evenly, whatever their number
-    files = manifest.select("file").repartition(max(1, min(10_000, manifest.count())), "file")
+    files = manifest.select("file", "records").repartition(max(1, min(10_000, manifest.count())), "file")
     return read_archives(files, path, with_payload=False)

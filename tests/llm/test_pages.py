@@ -7,6 +7,8 @@ import re
 
 import pytest
 
+from pyspark.sql import functions as F
+
 from folioscope.llm import html_extract, queries, warc
 from folioscope.llm.common import scratch
 
@@ -113,3 +115,70 @@ def test_html_edges(edge):
     by = {r.page_id: r.text for r in rows}
     assert by[1] == "" and by[3] == "same" and by[7] == "plain text & bold"
     assert html_extract.extract(edge.limit(0)).collect() == []
+
+
+def test_html_names_are_read_whole():
+    text = html_extract.main_text
+    assert text('<article><div style="overflow:hidden"><p>Keep me') == "Keep me"
+    assert text('<article><p title="hidden gems">Keep me') == "Keep me"
+    assert text('<article><p data-id="share-1">Keep me') == "Keep me"
+    assert text('<article><section id="reply-rates"><p>Body') == "Body"
+    assert text("<article><svg/><p>After svg") == "After svg" and text("<article><iframe src=x /><p>After") == "After"
+    assert text('<article class="teaser"><p>no</p></article><article><p>yes</p></article>') == "yes"
+    assert text('<article><p hidden>no<p>yes<p aria-hidden="true">no<div class="x comment-list-2">no</div>') == "yes"
+    assert text("<article><p>one<script>lost <p>to the end") == "one"
+
+
+NOTICE = "<div class='x1'><p>Prices of this shop are in local money.</p></div>"
+
+
+def host_pages(n, host, notice=True, body=None):
+    page = "<html><body><div class='t'><div>Shop</div></div><article><h1>T{0}</h1>{1}<p>{2}</p></article><div class='z'>Bottom</div></body></html>"
+    return [(i, f"http://{host}/{i}", page.format(i, NOTICE if notice else "", body or f"Text number {i} is about things of its own, at some length. " * 3)) for i in range(n)]
+
+
+def test_html_constants_go_inside_articles_but_copies_stay(spark):
+    own = "A long text that all pages share but for their title. " * 4
+    rows = host_pages(9, "a") + [(100 + i, u, h) for i, u, h in host_pages(9, "b", False, own)] + [(200 + i, u, h) for i, u, h in host_pages(4, "c")]
+    rows += [(300 + i, u.replace("//b", "//d"), h.replace("A long text", f"{i} A long text")) for i, u, h in host_pages(12, "b", False, own)]
+    df = spark.createDataFrame(rows, "page_id long, url string, html string").withColumn("host", F.lit("no")).withColumn("key", F.lit(1)).withColumn("text", F.lit("no"))
+    out = {r.page_id: r.text for r in html_extract.extract(df).collect()}
+    for i in range(9):
+        assert out[i] == f"T{i}\n\n" + ("Text number %d is about things of its own, at some length. " % i * 3).strip()
+        assert out[100 + i] == f"T{i}\n\n{own.strip()}"
+    for i in range(4):  # too few pages for a template
+        assert "local money" in out[200 + i]
+    for i in range(12):
+        assert out[300 + i] == f"T{i}\n\n{i} {own.strip()}"
+
+
+def slow_template(htmls):
+    """Occurrence vectors, classes and nesting of one host, all in memory."""
+    pages = [html_extract.Page(h) for h in htmls]
+    tokens, vectors, parents = [p.tokens() for p in pages], {}, {}
+    chains = {k: c for p in pages for k, c in p.chains.items()}
+    for k in {k for t in tokens for k in t}:
+        vectors[k] = tuple(t[k][0] if k in t else 0 for t in tokens)
+        parents[k] = {t[k][1] for t in tokens if k in t}
+    ok = {k: v for k, v in vectors.items() if max(v) == 1 and sum(v) * 2 >= len(pages) and len(parents[k]) == 1}
+    valid = {v for v in ok.values() if sum(x == v for x in ok.values()) >= 3 and any(x == v and not k[1] for k, x in ok.items())}
+    ok = {k: v for k, v in ok.items() if v in valid}
+    above = {k: [p, *chains[p]] for k in ok for p in parents[k]}
+    around = {k: next((ok[a, False] for a in above[k] if (a, False) in ok), None) for k in ok}
+    torn = {v for v in valid if len({around[k] for k in ok if ok[k] == v and around[k] != v}) > 1}
+    return {k for k, v in ok.items() if v not in torn}
+
+
+def test_html_template_against_brute_force(spark):
+    import random
+
+    rnd = random.Random(6)
+    for n in (8, 13):
+        htmls = []
+        for i in range(n):
+            parts = [f"<div class='{c}'><ul><li>{c} {'' if rnd.random() < 0.8 else i}</li></ul><h3>{c}</h3></div>" for c in "abcd" if rnd.random() < 0.75]
+            rnd.shuffle(parts)
+            htmls.append(f"<body><div id=w>{''.join(parts)}<article><p>Some longer text number {i} {'x' * i} {rnd.random()}</p></article></div><table><tr><td>end</table>")
+        df = spark.createDataFrame([(i, "http://h/", h) for i, h in enumerate(htmls)], "page_id long, url string, html string")
+        got = {(r.key, r.is_text) for r in html_extract.templates(df.unionByName(df)).collect()}
+        assert got == slow_template(htmls) and got
