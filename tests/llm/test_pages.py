@@ -140,7 +140,7 @@ def host_pages(n, host, notice=True, body=None):
 def test_html_constants_go_inside_articles_but_copies_stay(spark):
     own = "A long text that all pages share but for their title. " * 4
     rows = host_pages(9, "a") + [(100 + i, u, h) for i, u, h in host_pages(9, "b", False, own)] + [(200 + i, u, h) for i, u, h in host_pages(4, "c")]
-    rows += [(300 + i, u.replace("//b", "//d"), h.replace("A long text", f"{i} A long text")) for i, u, h in host_pages(12, "b", False, own)]
+    rows += [(300 + i, u.replace("//b", "//d"), h.replace("A long text", f"{i} A long text", 1)) for i, u, h in host_pages(12, "b", False, own)]
     df = spark.createDataFrame(rows, "page_id long, url string, html string").withColumn("host", F.lit("no")).withColumn("key", F.lit(1)).withColumn("text", F.lit("no"))
     out = {r.page_id: r.text for r in html_extract.extract(df).collect()}
     for i in range(9):
