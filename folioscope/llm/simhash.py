@@ -326,7 +326,8 @@ def similar_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     The similarity is that of the sets of ``words``-word shingles, taken exactly for every linked pair.  Texts with one
     set are one class, a node, whatever their ids.  Classes that share one of their first shingles (:func:`set_keys`,
     which no similar pair misses) are candidates if sizes, SimHash and parity sketches allow the similarity.  First a
-    spanning forest of each group's candidates is verified; then all candidates that its components don't connect yet.
+    spanning forest of each group's candidates is verified, one candidate of each node and then those that are still
+    apart; then all candidates that its components don't connect yet.
     """
     kind = docs.schema[id_col].dataType.simpleString()
     common = common_shingles(docs, text_col, words)
@@ -365,8 +366,18 @@ def similar_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
         return out.withColumn("a", F.least("tile", "other")).withColumn("b", F.greatest("tile", "other"))
 
     tested = checkpoint(candidate_pairs(dealt(traits.withColumn("component", F.col("of_node"))), least, crossing=False))
-    sure = verified(tested, first, plain, words, least)
-    found = components(sure)
+    # one candidate of each node first: in a group of copies that connects nearly all, and few others are left to verify
+    once = checkpoint(tested.groupBy("v").agg(F.min("u").alias("u")).select("u", "v"))
+    sure = verified(once, first, plain, words, least)
+    part = components(sure)
+    named_u, named_v = (part.select(F.col("node").alias(f"node_{k}"), F.col("component").alias(f"component_{k}")) for k in "uv")
+    apart = F.col("component_u").isNull() | F.col("component_v").isNull() | (F.col("component_u") != F.col("component_v"))
+    open_ = tested.join(once, ["u", "v"], "left_anti").join(named_u, F.col("u") == F.col("node_u"), "left").join(named_v, F.col("v") == F.col("node_v"), "left").where(apart).select("u", "v")
+    open_ = checkpoint(open_)
+    if not open_.isEmpty():
+        sure = sure.unionByName(verified(open_, first, plain, words, least))
+        part = components(sure)
+    found = part
     labelled = traits.join(found, F.col("of_node") == F.col("node"), "left").select("of_node", "fp", "n", "sketch", F.coalesce("component", "of_node").alias("component"))
     rest = checkpoint(candidate_pairs(dealt(labelled), least, crossing=True).join(tested, ["u", "v"], "left_anti"))
     if not rest.isEmpty():
