@@ -8,16 +8,19 @@ from dataclasses import dataclass, field
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-#: Section weights of an intent's key words, the default weights, and where annual items stand in quarterly reports.
-INTENTS: list[tuple[str, dict[str, float]]] = [
-    (r"risk|threat|exposure", {"1A": 1.5, "7": 1.1}),
-    (r"revenue|sales|growth|margin", {"7": 1.5, "8": 1.3}),
-    (r"segment", {"8": 1.5, "7": 1.3, "1": 1.1}),
-    (r"regulat|legal|litigation", {"3": 1.5, "1A": 1.3, "1": 1.2}),
-    (r"capital|liquidity|debt|interest", {"7": 1.5, "8": 1.5}),
-    (r"cyber|security breach", {"1C": 1.5, "1A": 1.3}),
-    (r"compet", {"1": 1.5, "1A": 1.3}),
+# fixed values: intents (name, key words, weights by annual item, titles of notes), weights without an intent, the weight
+# of every other item with an intent and without one, and where annual items stand in quarterly reports
+INTENTS: list[tuple[str, str, dict[str, float], str | None]] = [
+    ("risk", r"risks?|risky|uncertainty|uncertainties", {"1A": 1.6, "7": 1.0, "1": 0.9}, None),
+    ("revenue", r"revenues?|sales|growth|outlook|guidance|results|margins?|earnings|profits?|profitab\w*", {"7": 1.5, "8": 1.3, "1A": 0.8}, "revenue|segment|disaggregat"),
+    ("segment", r"segments?|business units?", {"8": 1.6, "7": 1.2}, "segment"),
+    ("regulatory", r"regulat\w*|fda|compliance|antitrust|legal|litigation|lawsuits?", {"1": 1.4, "1A": 1.4, "3": 1.3, "7": 0.9}, None),
+    ("capital", r"capital|cet1|tier 1|liquidity|deposits?|uninsured|net interest income|allowance|credit loss(?:es)?|held-to-maturity|securities portfolio", {"7": 1.5, "8": 1.5, "1A": 0.7}, None),
+    ("cyber", r"cyber\w*", {"1C": 1.6, "1A": 1.2}, None),
+    ("competition", r"compet\w*|market share", {"1": 1.5, "1A": 1.0, "7": 1.0}, None),
 ]
+DEFAULT_WEIGHTS = {"1A": 1.2, "7": 1.2, "8": 1.0, "1": 0.9}
+OTHER_WITH_INTENT, OTHER = 0.6, 0.7
 QUARTERLY = {"1A": "II.1A", "7": "I.2", "8": "I.1", "3": "II.1"}
 MAX_COMPANIES, SMALL_BUDGET, LARGE_BUDGET = 6, 20_000, 30_000
 _WORD_NUMBERS = {"first": 1, "second": 2, "third": 3, "fourth": 4}
@@ -46,16 +49,23 @@ def intent_weights(questions: DataFrame, keys: list[str], text: str, intents: li
     return questions.select(*keys, F.explode(found).alias("x")).groupBy(*keys, "x.item").agg(F.max("x.weight").alias("weight"))
 
 
+def fired_intents(question: str) -> list[tuple[str, str, dict[str, float], str | None]]:
+    return [x for x in INTENTS if re.search(rf"\b(?:{x[1]})\b", question, re.I)]
+
+
 def section_weights(question: str) -> dict[str, float]:
-    """Weights by item for one question; quarterly items mirror annual ones."""
-    out: dict[str, float] = {}
-    for pattern, weights in INTENTS:
-        if re.search(pattern, question, re.I):
-            for item, w in weights.items():
-                for name in (item, QUARTERLY.get(item)):
-                    if name:
-                        out[name] = max(w, out.get(name, 0.0))
-    return out | {"*": 0.6 if out else 0.7}
+    """Weights by item for one question: the highest any intent offers, or the defaults; quarterly items mirror annual ones."""
+    fired = fired_intents(question)
+    annual: dict[str, float] = {} if fired else dict(DEFAULT_WEIGHTS)
+    for _, _, weights, _ in fired:
+        annual = {item: max(annual.get(item, 0.0), weights.get(item, 0.0)) for item in {**annual, **weights}}
+    return annual | {QUARTERLY[i]: w for i, w in annual.items() if i in QUARTERLY} | {"*": OTHER_WITH_INTENT if fired else OTHER}
+
+
+def note_titles(question: str) -> str | None:
+    """Titles of notes to favour: of the fired intents that name some, those of the one with the highest weight for item 8."""
+    named = [(weights.get("8", 0.0), -k, notes) for k, (_, _, weights, notes) in enumerate(fired_intents(question)) if notes]
+    return max(named)[2] if named else None
 
 
 @dataclass
