@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -27,10 +29,26 @@ def shared_dir(spark: SparkSession) -> str:
     return at if "://" in at else ("file://" + at if at.startswith("/") else at)
 
 
+#: Spark's setting that removes an execution's shuffle files when it has ended.
+_SPENT = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
+@contextmanager
+def shuffles_removed(spark: SparkSession) -> Iterator[None]:
+    """What is planned and written out within leaves no shuffle files: its rows are read from the copy from then on."""
+    before = spark.conf.get(_SPENT, "false")
+    spark.conf.set(_SPENT, "true")
+    try:
+        yield
+    finally:
+        spark.conf.set(_SPENT, before)
+
+
 def checkpoint(df: DataFrame) -> DataFrame:
     """Cut the lineage with a copy in the shared folder, so a lost executor costs no recomputation."""
     shared_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
+    with shuffles_removed(df.sparkSession):
+        return df.select("*").checkpoint(eager=True)  # a plan of its own, which takes up the setting
 
 
 def scratch(spark: SparkSession, name: str) -> str:
@@ -41,7 +59,8 @@ def scratch(spark: SparkSession, name: str) -> str:
 def stored(df: DataFrame, name: str) -> DataFrame:
     """Like :func:`checkpoint`, as compressed Parquet: smaller where rows are wide."""
     at = scratch(df.sparkSession, name)
-    df.write.option("compression", "zstd").parquet(at)
+    with shuffles_removed(df.sparkSession):
+        df.write.option("compression", "zstd").parquet(at)
     return df.sparkSession.read.schema(df.schema).parquet(at)
 
 
@@ -51,17 +70,6 @@ def remove(spark: SparkSession, path: str) -> None:
     at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
 
 
-def drop_spent_shuffles(spark: SparkSession) -> None:
-    """Let Spark remove the shuffle files of plans that nothing refers to any more; its cleaner follows the JVM's collector."""
-    import gc
-    import time
-
-    gc.collect()
-    spark._jvm.System.gc()
-    time.sleep(1)  # the cleaner works beside us
-    spark._jvm.System.gc()
-
-
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 

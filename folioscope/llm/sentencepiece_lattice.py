@@ -47,7 +47,7 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from folioscope.llm.common import drop_spent_shuffles, remove, scratch, stored, text_or_empty
+from folioscope.llm.common import remove, scratch, stored, text_or_empty
 
 CHUNK_CHARS, FOLD_CHARS = 16 << 20, 62
 #: Bits of an edge: id, length, start; the rank stands above them.  The last id marks a character outside the table.
@@ -487,7 +487,6 @@ def encode_with(docs: DataFrame, pieces: Pieces, id_col: str = "doc_id", text_co
     finally:
         conf.set(setting, before)
     remove(spark, f"{at}/kind=1")
-    drop_spent_shuffles(spark)
     gathered = blobs.groupBy(F.col("chunk").alias("of_chunk")).agg(F.collect_list(F.struct("steps", "counts", "pieces")).alias("blobs"))
     joined = chunks.select("chunk", "ids", "sizes", "crcs", "packed").join(gathered, F.col("chunk") == F.col("of_chunk"), "left").select("ids", "sizes", "crcs", "packed", "blobs")
 
