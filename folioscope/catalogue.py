@@ -19,7 +19,7 @@ Query = Callable[[SparkSession, str], DataFrame]
 _QUERIES: dict[str, Query] = {}
 _ORACLES: dict[str, str] = {}
 
-TERMS = ["the", "apache", "version", "public"]
+TERMS = search.query_terms("the Apache version of public")
 
 
 def annual() -> Column:
@@ -145,7 +145,7 @@ def prose_packing(spark, sf_dir):
 # ---- search ------------------------------------------------------------------------------
 
 _BM25 = (
-    f"tok AS (SELECT doc_id, lang, source, regexp_extract_all(lower(text), '[a-z0-9]{{2,}}') AS toks FROM documents), tf AS (SELECT doc_id, lang, source, len(toks) AS dl, {', '.join(f'len(list_filter(toks, lambda t: t = {chr(39)}{t}{chr(39)})) AS tf{i}' for i, t in enumerate(TERMS))} FROM tok), "
+    f"tok AS (SELECT doc_id, lang, source, list_filter(regexp_extract_all(lower(text), '[a-z0-9]{{2,}}'), lambda w: w NOT IN ({', '.join(repr(w) for w in search.STOP_WORDS)})) AS toks FROM documents), tf AS (SELECT doc_id, lang, source, len(toks) AS dl, {', '.join(f'len(list_filter(toks, lambda t: t = {chr(39)}{t}{chr(39)})) AS tf{i}' for i, t in enumerate(TERMS))} FROM tok), "
     f"st AS (SELECT count(*) AS n, avg(dl) AS avgdl, {', '.join(f'count_if(tf{i} > 0) AS df{i}' for i in range(len(TERMS)))} FROM tf), "
     f"bm AS (SELECT doc_id, lang, source, dl, round({' + '.join(f'ln(1 + (n - df{i} + 0.5) / (df{i} + 0.5)) * tf{i} / (tf{i} + 1.5 * (1 - 0.75 + 0.75 * dl / greatest(1e-9, avgdl)))' for i in range(len(TERMS)))}, 6) AS score FROM tf, st)"
 )
@@ -158,7 +158,7 @@ def bm25_scores(spark, sf_dir):
 
 @query("SELECT doc_id, 0.0::DOUBLE AS score FROM documents")
 def bm25_all_stopwords(spark, sf_dir):
-    return search.bm25(read(spark, sf_dir, "documents"), [])
+    return search.bm25(read(spark, sf_dir, "documents"), search.query_terms("the, of and IN"))
 
 
 _COS = """cq AS (SELECT list_transform(embedding, lambda x: x::DOUBLE) AS q FROM embeddings WHERE vec_id = 0),

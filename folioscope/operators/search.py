@@ -7,15 +7,26 @@ batch are scored in one pass; only the query terms' postings are ever shuffled.
 from __future__ import annotations
 
 import math
+import re
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 K1, B, RRF = 1.5, 0.75, 60
+#: The usual short list of English stop words of search engines.
+STOP_WORDS = (
+    "a an and are as at be but by for if in into is it no not of on or such that the their then there these they this to was will with"
+).split()
 
 
 def tokens(text: Column) -> Column:
-    return F.regexp_extract_all(F.lower(text), F.lit("[a-z0-9]{2,}"), F.lit(0))
+    """Lower-cased words of two characters and more, without stop words."""
+    return F.filter(F.regexp_extract_all(F.lower(text), F.lit("[a-z0-9]{2,}"), F.lit(0)), lambda w: ~w.isin(*STOP_WORDS))
+
+
+def query_terms(query: str) -> list[str]:
+    """The words of a query, taken like those of a text; none are left of stop words alone."""
+    return [w for w in re.findall("[a-z0-9]{2,}", query.lower()) if w not in STOP_WORDS]
 
 
 def postings(docs: DataFrame, terms: list[str], id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
