@@ -444,13 +444,13 @@ def near_dup_keep_first(spark, sf_dir):
 
 
 @query("""WITH a AS (SELECT doc_id, 0 AS priority, row_number() OVER (ORDER BY n_chars DESC, doc_id) AS rank FROM documents QUALIFY rank <= 50), b AS (SELECT doc_id, 1 AS priority, row_number() OVER (ORDER BY n_chars, doc_id) AS rank FROM documents QUALIFY rank <= 80),
-c AS (SELECT doc_id, 2 AS priority, doc_id + 1 AS rank FROM documents WHERE doc_id < 100), u AS (SELECT * FROM a UNION ALL SELECT * FROM b UNION ALL SELECT * FROM c)
+c AS (SELECT doc_id, 2 AS priority, doc_id + 1 AS rank FROM documents), u AS (SELECT * FROM a UNION ALL SELECT * FROM b UNION ALL SELECT * FROM c)
 SELECT doc_id, min((priority, rank))[1]::BIGINT AS priority, min((priority, rank))[2]::BIGINT AS rank FROM u GROUP BY 1""")
 def priority_union(spark, sf_dir):
     docs = read(spark, sf_dir, "documents").select("doc_id", "n_chars")
     a = search.ranked(docs, "n_chars", k=50)
     b = search.ranked(docs.withColumn("n", -F.col("n_chars")), "n", k=80)
-    c = docs.where("doc_id < 100").withColumn("rank", F.col("doc_id") + 1)
+    c = docs.withColumn("rank", F.col("doc_id") + 1)
     return retrieval.priority_union([(0, a), (1, b), (2, c)], [], "doc_id")
 
 
@@ -474,12 +474,12 @@ def mrr(spark, sf_dir):
     return evals.reciprocal_rank(found.withColumn("set", F.lit("all")), ["set"])
 
 
-@query("""WITH a AS (SELECT lang AS metric, round(avg(quality), 6) AS value FROM documents JOIN labels USING (doc_id) WHERE doc_id % 2 = 0 GROUP BY 1), b AS (SELECT lang AS metric, round(avg(quality), 6) AS value FROM documents JOIN labels USING (doc_id) WHERE doc_id % 2 = 1 AND lang <> 'es' GROUP BY 1)
+@query("""WITH a AS (SELECT lang AS metric, round(avg(quality), 6) AS value FROM documents JOIN labels USING (doc_id) WHERE toxic = 0 GROUP BY 1), b AS (SELECT lang AS metric, round(avg(quality), 6) AS value FROM documents JOIN labels USING (doc_id) WHERE toxic = 1 GROUP BY 1)
 SELECT coalesce(a.metric, b.metric) AS metric, a.value AS before, b.value AS after, round(b.value - a.value, 6) AS delta FROM a FULL JOIN b ON a.metric = b.metric""")
 def metric_delta(spark, sf_dir):
     rows = read(spark, sf_dir, "documents").select("doc_id", "lang").join(read(spark, sf_dir, "labels"), "doc_id")
     part = lambda cond: rows.where(cond).groupBy(F.col("lang").alias("metric")).agg(F.round(F.avg("quality"), 6).alias("value"))
-    return evals.deltas(part("doc_id % 2 = 0"), part("doc_id % 2 = 1 and lang <> 'es'"))
+    return evals.deltas(part("toxic = 0"), part("toxic = 1"))
 
 
 @query()
