@@ -11,6 +11,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from folioscope.functions import replies
 from folioscope.functions import text as T
 from folioscope.operators import checks, evals, fiscal, retrieval, search, structure
 from folioscope.plans import planner
@@ -401,6 +402,50 @@ def figure_match(spark, sf_dir):
     return _figure_hits(spark, sf_dir).drop("place")
 
 
+@query("""WITH f AS (SELECT l_orderkey, l_linenumber, l_partkey, (CAST(round(l_extendedprice / l_quantity) AS BIGINT) + 50) // 100 AS tenths FROM lineitem GROUP BY ALL),
+d AS (SELECT *, (tenths // 10) || '.' || (tenths % 10) AS digits FROM f), g AS (SELECT *, greatest(1, length(ltrim(replace(digits, '.', ''), '0'))) AS sig FROM d),
+s AS (SELECT p_partkey, CAST(round(p_retailprice) AS BIGINT) AS p FROM part WHERE p_retailprice >= 1), v AS (SELECT l_orderkey, l_linenumber, l_partkey, digits, digits::DOUBLE AS x, p / 1000 AS y, pow(10, floor(log10(p / 1000)) + 1 - sig) AS unit FROM g LEFT JOIN s ON p_partkey = l_partkey)
+SELECT l_orderkey, l_linenumber, l_partkey, digits, CASE WHEN abs(round_even(y / unit, 0) * unit - x) < 0.0000005 THEN 'matched' ELSE 'flagged' END AS outcome FROM v""")
+def figure_rescaled(spark, sf_dir):
+    """Prices a unit, told in millions at a tenth, against part prices as printed in thousands."""
+    rows = read(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", "l_partkey", F.expr("(cast(round(l_extendedprice / l_quantity) as bigint) + 50) div 100").alias("tenths")).distinct()
+    rows = rows.withColumn("digits", F.expr("concat(tenths div 10, '.', tenths % 10)"))
+    sig = F.greatest(F.lit(1), F.length(F.ltrim(F.replace("digits", F.lit(".")), F.lit("0"))))
+    rows = rows.select("*", sig.alias("sig"), F.lit(False).alias("percent"), F.lit(False).alias("dollar"), F.lit("million").alias("scale"), F.concat_ws(":", "l_orderkey", "l_linenumber", "l_partkey", "tenths").alias("figure_id"))
+    printed = read(spark, sf_dir, "part").where("p_retailprice >= 1").select(F.col("p_partkey").alias("l_partkey"), F.col("p_partkey").alias("place"), F.round("p_retailprice").cast("long").cast("string").alias("digits"), F.lit(False).alias("percent"), F.lit("thousand").alias("scale"))
+    return checks.match_figures(rows, printed, "l_partkey").select("l_orderkey", "l_linenumber", "l_partkey", "digits", "outcome")
+
+
+_PAIRS = "pairs AS (SELECT conv_id, turn, text, lead(text) OVER w AS next_text FROM conversations WINDOW w AS (PARTITION BY conv_id ORDER BY turn) QUALIFY lead(turn) OVER w = turn + 1)"
+
+
+def _turns(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each turn with the one that follows it: the excerpt and what is said of it."""
+    return checks.with_next(read(spark, sf_dir, "conversations"), "conv_id", "turn", "text").where("next_text is not null")
+
+
+@query(f"""WITH {_PAIRS}, w AS (SELECT conv_id, turn, list_filter(string_split({_CANON.format('text')}, ' '), lambda x: x <> '') AS have, list_filter(string_split({_CANON.format('next_text')}, ' '), lambda x: x <> '') AS said FROM pairs WHERE next_text IS NOT NULL),
+d AS (SELECT *, list_distinct(said) AS wanted FROM w WHERE len(said) >= 3), n AS (SELECT *, least(len(wanted), len(have)) AS width FROM d)
+SELECT conv_id, turn, round(list_max(list_transform(range(0, len(have) - width + 1), lambda i: len(list_intersect(have[i + 1 : i + width], wanted)))) / len(wanted), 6) AS share FROM n""")
+def quote_token_share(spark, sf_dir):
+    return _turns(spark, sf_dir).select("conv_id", "turn", F.round(checks.token_share(F.col("next_text"), F.col("text")), 6).alias("share")).where("share is not null")
+
+
+@query(f"""WITH {_PAIRS}, n AS (SELECT conv_id, turn, regexp_extract_all(text, '[A-Za-z0-9]+') AS held, list_concat(list_filter(regexp_extract_all(next_text, '[0-9-]+'), lambda x: regexp_full_match(x, '(19|20)[0-9][0-9]')), list_filter(regexp_extract_all(next_text, '\\b[A-Z]{{2,5}}\\b'), lambda x: x IN ('AI', 'API', 'EU', 'UK', 'US'))) AS named FROM pairs WHERE next_text IS NOT NULL)
+SELECT conv_id, turn, list_filter(named, lambda x: NOT list_contains(held, x)) AS named FROM n""")
+def gap_grounding(spark, sf_dir):
+    return _turns(spark, sf_dir).select("conv_id", "turn", checks.ungrounded(F.col("next_text"), F.col("text"), ["AI", "API", "EU", "UK", "US"]).alias("named"))
+
+
+@query("SELECT conv_id, turn, array_to_string(list_slice(regexp_split_to_array(regexp_replace(trim(text, chr(32)), '', ''), '[ \\t\\n\\x0B\\f\\r]+'), 1, 12), ' ') AS quote, false AS replayed, NULL::VARCHAR AS error FROM conversations WHERE text IS NOT NULL")
+def reply_parsing(spark, sf_dir):
+    """Each turn as an excerpt: the canned reply about it, fenced, is parsed, and its claim's quote is what the excerpt begins with."""
+    turns = read(spark, sf_dir, "conversations").where("text is not null").withColumn("question_key", T.question_key(F.col("text")))
+    none = turns.select("question_key", F.col("text").alias("raw_text")).where("false")
+    raw = replies.replayed(turns, none, "text").withColumn("raw_text", F.concat(F.lit("Here it is:\n```json\n"), "raw_text", F.lit("\n```")))
+    return replies.answers(raw, "raw_text").select("conv_id", "turn", F.get("answer.claims", F.lit(0))["quote"].alias("quote"), "replayed", "error")
+
+
 @query("SELECT o_orderkey, round(round(o_totalprice / 1000, 1) * 1000, 1) = round(o_totalprice, 1) AS exact, CAST(round(o_totalprice / 1000) AS BIGINT) AS thousands FROM orders")
 def unit_rescale(spark, sf_dir):
     x = F.col("o_totalprice")

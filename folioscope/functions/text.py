@@ -41,6 +41,13 @@ def token_estimate(c: Column) -> Column:
     return F.floor((F.length(c) + 3) / 4).cast("long")
 
 
+def running_total(sizes: Column) -> Column:
+    """Sums of the first 1, 2, ... numbers of an array, by doubling: each step adds the sum that ends a power of two earlier."""
+    steps = F.sequence(F.lit(0), F.length(F.bin(F.size(sizes).cast("long"))) - 1)
+    earlier = lambda sums, i, k: F.coalesce(F.get(sums, i - F.call_function("shiftleft", F.lit(1), k)), F.lit(0))
+    return F.aggregate(steps, sizes, lambda sums, k: F.transform(sums, lambda x, i: x + earlier(sums, i, k)))
+
+
 def question_key(c: Column) -> Column:
     return F.substring(F.sha1(F.lower(squeeze(normalize_plain(c))).cast("binary")), 1, 16)
 

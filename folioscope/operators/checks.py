@@ -8,6 +8,9 @@ from pyspark.sql import functions as F
 from folioscope.functions.text import squeeze
 
 OUTCOMES = ("matched", "flagged", "unchecked")
+# fixed values: scale words, and the tokens below which a quote locates nothing
+SCALES = {"thousand": 1e3, "million": 1e6, "billion": 1e9, "trillion": 1e12}
+MIN_TOKENS = 3
 
 
 def canon(c: Column) -> Column:
@@ -50,6 +53,87 @@ def first_match(figures: DataFrame, sources: DataFrame, by: str, figure: str, so
     return hit.withColumn("outcome", F.when(F.col("place").isNull(), "flagged").otherwise("matched"))
 
 
+def factor(scale: Column) -> Column:
+    """What a scale word stands for; null for none."""
+    out = F.lit(None).cast("double")
+    for word, value in SCALES.items():
+        out = F.when(scale == word, F.lit(value)).otherwise(out)
+    return out
+
+
+def at_precision(x: Column, digits: Column) -> Column:
+    """A number at so many significant digits, half to even, as a decimal that can be joined on."""
+    unit = F.pow(F.lit(10.0), F.floor(F.log10(x)) + 1 - digits)
+    return F.when(x == 0, F.lit(0.0)).otherwise(F.bround(x / unit) * unit).try_cast("decimal(38,6)")
+
+
+def match_figures(figures: DataFrame, sources: DataFrame, by: str) -> DataFrame:
+    """Adds (place, converted, outcome) to figures: the printed number each of them is.
+
+    ``figures``: by, figure_id (unique), digits, sig (significant digits), percent, dollar, scale (a word or null).
+    ``sources``: by, place, digits, percent, scale.  A percentage is only a printed percentage; what has a currency
+    sign or a scale word is none.  Equal digits come first; else a number of another scale that reads as the
+    figure at its precision.  Of several the first place.
+
+    Numbers are joined on their digits, and rescaled ones on their value at each precision asked for in that
+    ``by``, so neither compares every figure with every number.
+    """
+    f = figures.select(F.col(by).alias("f_by"), F.col("figure_id").alias("f_id"), F.col("digits").alias("f_digits"), F.col("sig").alias("f_sig"), F.col("percent").alias("f_percent"), F.col("dollar").alias("f_dollar"), F.col("scale").alias("f_scale"))
+    s = sources.groupBy(F.col(by).alias("s_by"), F.col("digits").alias("s_digits"), F.col("percent").alias("s_percent"), F.col("scale").alias("s_scale")).agg(F.min("place").alias("place"))
+    fits = F.when(F.col("f_percent"), F.col("s_percent")).otherwise(~(F.col("s_percent") & (F.col("f_dollar") | F.col("f_scale").isNotNull())))
+    printed = f.join(s, (F.col("f_by") == F.col("s_by")) & (F.col("f_digits") == F.col("s_digits"))).where(fits).select("f_id", F.lit(False).alias("converted"), "place")
+    scaled = f.where("f_scale is not null and not f_percent")
+    asked = scaled.select(F.col("f_by").alias("a_by"), F.col("f_scale").alias("a_scale"), F.col("f_sig").alias("a_sig")).distinct()
+    value = F.col("s_digits").cast("double") * factor(F.col("s_scale")) / factor(F.col("a_scale"))
+    rescaled = s.join(asked, (F.col("s_by") == F.col("a_by")) & (F.col("s_scale") != F.col("a_scale"))).select("a_by", "a_scale", "a_sig", "s_percent", "place", at_precision(value, F.col("a_sig")).alias("a_value"))
+    same = (F.col("f_by") == F.col("a_by")) & (F.col("f_scale") == F.col("a_scale")) & (F.col("f_sig") == F.col("a_sig")) & (F.col("f_value") == F.col("a_value"))
+    claimed = scaled.withColumn("f_value", at_precision(F.col("f_digits").cast("double"), F.col("f_sig")))
+    converted = claimed.join(rescaled, same).where(fits).select("f_id", F.lit(True).alias("converted"), "place")
+    best = printed.unionByName(converted).groupBy("f_id").agg(F.min(F.struct("converted", "place")).alias("best"))
+    out = figures.join(best, F.col("figure_id") == F.col("f_id"), "left").withColumn("place", F.col("best.place")).withColumn("converted", F.coalesce("best.converted", F.lit(False)))
+    return out.withColumn("outcome", F.when(F.col("best").isNull(), "flagged").otherwise("matched")).drop("best", "f_id")
+
+
+def row_scale(units: Column, units_source: Column) -> Column:
+    """struct(scale, reason): the scale that an excerpt's own unit line states, or why there is none."""
+    words = F.array_distinct(F.regexp_extract_all(F.lower(units), F.lit(rf"\b({'|'.join(SCALES)})s?\b"), F.lit(1)))
+    reason = (
+        F.when(F.coalesce(units, F.lit("")) == "", "no unit line")
+        .when(F.coalesce(units_source, F.lit("")) != "declared", "the unit line was carried in from an earlier excerpt")
+        .when(F.lower(units).rlike(r"\bexcept\b"), "the unit line excepts rows it does not name")
+        .when(F.size(words) != 1, "the unit line names no single scale word")
+    )
+    return F.struct(F.when(reason.isNull(), F.get(words, F.lit(0))).alias("scale"), reason.alias("reason"))
+
+
+def unit_outcome(claimed: Column, printed: Column, converted: Column) -> Column:
+    """A claim's scale word against that of the number it stands for."""
+    return F.when(claimed.isNull() | printed.isNull(), "unchecked").when((claimed != printed) & ~converted, "flagged").otherwise("matched")
+
+
+def ungrounded(text: Column, coverage: Column, tickers: list[str]) -> Column:
+    """array<string>: the years and known tickers that a text names and the coverage doesn't.
+
+    A year is a run of digits and hyphens of its own, so no part of a date or number counts.
+    """
+    held = F.regexp_extract_all(coverage, F.lit("[A-Za-z0-9]+"), F.lit(0))
+    years = F.filter(F.regexp_extract_all(text, F.lit("[0-9-]+"), F.lit(0)), lambda x: x.rlike("^(?:19|20)[0-9]{2}$"))
+    named = F.filter(F.regexp_extract_all(text, F.lit(r"\b[A-Z]{2,5}\b"), F.lit(0)), lambda x: x.isin(*tickers))
+    return F.filter(F.concat(years, named), lambda x: ~F.array_contains(held, x))
+
+
+def token_share(quote: Column, excerpt: Column) -> Column:
+    """Share of a quote's distinct tokens that the best window of an excerpt holds; null below three tokens.
+
+    A window has as many tokens as the quote has distinct ones.  For excerpts, as every place of one is looked at.
+    """
+    split = lambda c: F.filter(F.split(canon(c), " "), lambda x: x != "")
+    wanted, have = F.array_distinct(split(quote)), split(excerpt)
+    width = F.least(F.size(wanted), F.size(have))
+    held = F.transform(F.sequence(F.lit(0), F.size(have) - width), lambda i: F.size(F.array_intersect(F.slice(have, i + 1, width), wanted)))
+    return F.when(F.size(split(quote)) >= MIN_TOKENS, F.array_max(held) / F.size(wanted))
+
+
 def rollup(findings: DataFrame, by: list[str]) -> DataFrame:
     """(matched, checkable, unchecked) of each group."""
     n = {o: F.count_if(F.col("outcome") == o) for o in OUTCOMES}

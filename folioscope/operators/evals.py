@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
@@ -19,12 +19,15 @@ def reciprocal_rank(found: DataFrame, by: list[str], rank: str = "rank") -> Data
 def upper_median(rows: DataFrame, by: list[str], value: str) -> DataFrame:
     """The value at place n div 2 of the sorted values.
 
-    Values are counted first, so a group gathers its distinct values and counts, not its rows.
+    Values are counted first; a group's counts are then summed up in order by a window, which spills and holds no group
+    in a row.
     """
     counts = rows.groupBy(*by, value).agg(F.count("*").alias("c"))
-    return counts.groupBy(*by).agg(F.array_sort(F.collect_list(F.struct(F.col(value).alias("v"), "c"))).alias("x")).select(
-        *by, F.expr("aggregate(x, struct(cast(0 as bigint) as n, cast(null as double) as v), (a, e) -> if(a.v is null and a.n + e.c > aggregate(x, cast(0 as bigint), (t, z) -> t + z.c) div 2, struct(a.n + e.c as n, cast(e.v as double) as v), struct(a.n + e.c as n, a.v as v)), a -> a.v)").alias("upper_median")
-    )
+    group = Window.partitionBy(*by)
+    upto = F.sum("c").over(group.orderBy(value).rowsBetween(Window.unboundedPreceding, 0))
+    places = counts.select(*by, value, "c", upto.alias("upto"), F.sum("c").over(group).alias("total"))
+    middle = F.floor(F.col("total") / 2)
+    return places.where((F.col("upto") > middle) & (F.col("upto") - F.col("c") <= middle)).select(*by, F.col(value).cast("double").alias("upper_median"))
 
 
 def deltas(before: DataFrame, after: DataFrame, metric: str = "metric", value: str = "value") -> DataFrame:

@@ -5,13 +5,15 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from folioscope.functions.text import running_total
+
 
 def lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc_id, n, start, line): every line with its place in the text."""
     parts = F.split(text_col, "\n")
     # offsets are summed inside the row, so no document is shuffled
-    step = lambda a, x: F.struct((a["at"] + F.length(x) + 1).alias("at"), F.concat(a["out"], F.array(a["at"])).alias("out"))
-    starts = F.aggregate(parts, F.struct(F.lit(0).alias("at"), F.array().cast("array<int>").alias("out")), step, lambda a: a["out"])
+    ends = running_total(F.transform(parts, lambda x: F.length(x) + 1))
+    starts = F.zip_with(ends, parts, lambda e, x: e - F.length(x) - 1)
     zipped = docs.select(F.col(id_col).alias("doc_id"), F.posexplode(F.arrays_zip(starts.alias("start"), parts.alias("line"))).alias("n", "x"))
     return zipped.select("doc_id", "n", F.col("x.start").alias("start"), F.col("x.line").alias("line"))
 
