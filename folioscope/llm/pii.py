@@ -84,7 +84,7 @@ def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Dat
 
     ``base``: array of (k, kind, s, e) in order; ``found``: array of candidates (s, e, t, before, after).
     """
-    names = {**{k: (PATTERNS[k], HINTS[k]) for k in KINDS}, "word": (CANDIDATE, "[0-9]")}
+    names = {**{k: (PATTERNS[k], HINTS[k]) for k in KINDS}, "word": (CANDIDATE, "[0-9@]")}
     df = docs.select(F.col(id_col).alias("doc_id"), text_or_empty(text_col).alias("text"))
     none = F.array().cast("array<string>")
     for kind, (pattern, hint) in names.items():

@@ -230,6 +230,14 @@ def test_pii_contexts_discover_unseen_identifiers(spark):
     assert found[100] == ["id"] and found[101] == [] and found[3] == ["email"]
 
 
+def test_pii_texts_without_digits_hold_seeds_and_candidates(spark):
+    from folioscope.llm import pii
+
+    rows = [(i, f"some text mailto {chr(97 + i)}@x.example.com thanks for it") for i in range(20)] + [(100, "write mailto weird@host thanks"), (101, "plain @ sign here")]
+    found = {r.doc_id: [(b.kind, b.s, b.e) for b in r.spans] for r in pii.find(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert found[100] == [("id", 13, 23)] and found[101] == [] and [k for k, *_ in found[3]] == ["email"]
+
+
 def test_pii_edges(edge):
     from folioscope.llm import pii
 
