@@ -8,7 +8,8 @@ read again, so a lost executor never reaches back beyond one stage.
 2. toxicity: documents called toxic go.
 3. SimHash near-dedup: of every group of near-duplicates one document stays, the one with
    the smallest id (null ids last; of rows that repeat that id, the smallest SHA-1 of the
-   text).  Near-duplicates are linked by pairs whose sets of five-word shingles have a
+   text).  Candidates come from blocks of SimHash fingerprints and, for what these miss, from
+   shared shingles; near-duplicates are linked by pairs whose sets of five-word shingles have a
    similarity of at least 0.8, taken exactly; rows that share an id but no text both stay.
 4. secret scans: secrets are replaced in the text; all documents stay.
 5. best-fit packing: documents become pieces of sequences of at most 2048 tokens.

@@ -43,7 +43,9 @@ FULL = 64
 _SLAB = 1 << 16
 #: Documents from which common shingles are taken, and in how many of them a shingle is common.
 SAMPLE, COMMON = 4096, 5
-#: Bits of a parity sketch; shingles from which the SimHash is looked at, and its distance for a pair worth verifying.
+#: Bits between fingerprints of the pairs that are verified first.
+DISTANCE = 4
+#: Bits of a parity sketch; shingles from which the SimHash is looked at, and its distance for a pair worth verifying early.
 SKETCH, LONG, LOOSE = 512, 64, 22
 
 
@@ -216,14 +218,14 @@ def common_shingles(docs: DataFrame, text_col: str, words: int) -> np.ndarray:
     return np.sort(np.array([r["hash"] for r in top.select("hash").collect()], dtype=np.int64).view(np.uint64))
 
 
-def close_to(at: int, others: np.ndarray, fps: np.ndarray, sizes: np.ndarray, sketches: np.ndarray, least: float) -> np.ndarray:
+def close_to(at: int, others: np.ndarray, fps: np.ndarray, sizes: np.ndarray, sketches: np.ndarray, least: float, loose: int) -> np.ndarray:
     """Which of ``others`` (positions) may have a similarity of ``least`` with ``at``.
 
-    Sizes and parity sketches never rule out such a pair; fingerprints of ``LONG`` shingles and more do with a
-    probability of about 3.5e-5 at 0.8 (9.7 bits on average, with a deviation of 2.9).
+    Sizes and parity sketches never rule out such a pair.  Fingerprints of ``LONG`` shingles and more that differ in
+    over ``loose`` bits do, with a small probability; with 64 they rule out nothing.
     """
     low, high = np.minimum(sizes[others], sizes[at]), np.maximum(sizes[others], sizes[at])
-    ok = (low >= least * high - 1e-9) & ((low < LONG) | (np.bitwise_count(fps[others] ^ fps[at]) <= LOOSE))
+    ok = (low >= least * high - 1e-9) & ((low < LONG) | (np.bitwise_count(fps[others] ^ fps[at]) <= loose))
     some = np.nonzero(ok)[0]
     if len(some):
         far = np.bitwise_count(sketches[others[some]] ^ sketches[at]).sum(axis=1, dtype=np.int64)
@@ -234,18 +236,20 @@ def close_to(at: int, others: np.ndarray, fps: np.ndarray, sizes: np.ndarray, sk
 def candidate_pairs(dealt: DataFrame, least: float, crossing: bool) -> DataFrame:
     """Pairs (u < v) of ``dealt`` (value, a, b, node, fp, n, component, sketch) that share a value and may be similar.
 
-    A spanning forest of each group's pairs, or with ``crossing`` all its pairs of different components.
+    Of a spanning forest of each group's pairs within ``LOOSE`` bits those of different components, or with
+    ``crossing`` all its pairs of different components, however far their fingerprints are.
     """
+    loose = 64 if crossing else LOOSE
 
     def search(node, fps, sizes, comp, sketches) -> tuple[list, list]:
         left, us, vs = np.argsort(node, kind="stable"), [], []
+        if (comp == comp[0]).all():
+            return us, vs
         if crossing:
-            if (comp == comp[0]).all():
-                return us, vs
             while len(left) > 1:
                 at, left = left[0], left[1:]
                 others = left[comp[left] != comp[at]]
-                near = others[close_to(at, others, fps, sizes, sketches, least)]
+                near = others[close_to(at, others, fps, sizes, sketches, least, loose)]
                 us.append(np.full(len(near), node[at]))
                 vs.append(node[near])
             return us, vs
@@ -253,10 +257,11 @@ def candidate_pairs(dealt: DataFrame, least: float, crossing: bool) -> DataFrame
             queue, left = [left[0]], left[1:]
             while queue and len(left):
                 at = queue.pop()
-                ok = close_to(at, left, fps, sizes, sketches, least)
+                ok = close_to(at, left, fps, sizes, sketches, least, loose)
                 if ok.any():
-                    us.append(np.full(int(ok.sum()), node[at]))
-                    vs.append(node[left[ok]])
+                    new = left[ok & (comp[left] != comp[at])]
+                    us.append(np.full(len(new), node[at]))
+                    vs.append(node[new])
                     queue += left[ok].tolist()
                     left = left[~ok]
         return us, vs
@@ -324,10 +329,14 @@ def similar_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     """(doc_id, sha, fp, component) of every row: documents linked by chains of pairs with a shingle similarity of at least ``least``.
 
     The similarity is that of the sets of ``words``-word shingles, taken exactly for every linked pair.  Texts with one
-    set are one class, a node, whatever their ids.  Classes that share one of their first shingles (:func:`set_keys`,
-    which no similar pair misses) are candidates if sizes, SimHash and parity sketches allow the similarity.  First a
-    spanning forest of each group's candidates is verified, one candidate of each node and then those that are still
-    apart; then all candidates that its components don't connect yet.
+    set are one class, a node, whatever their ids.
+
+    First the SimHash method: pigeonhole blocks of the classes' fingerprints, join, Hamming check (``DISTANCE`` bits),
+    verified pairs, components.  Similar pairs can be further apart than any distance that blocks can serve, so the
+    rest follows exactly: classes that share one of their first shingles (:func:`set_keys`, which no similar pair
+    misses) are candidates if sizes and parity sketches allow the similarity.  Of these a spanning forest of each
+    group's pairs with near fingerprints is verified, one candidate of each node and then those that are still apart;
+    then all candidates that the components don't connect yet, whatever their fingerprints.
     """
     kind = docs.schema[id_col].dataType.simpleString()
     common = common_shingles(docs, text_col, words)
@@ -365,23 +374,30 @@ def similar_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
         out = shared.join(named, F.col("node") == F.col("of_node")).withColumn("tile", tile).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("tiles") - 1)))
         return out.withColumn("a", F.least("tile", "other")).withColumn("b", F.greatest("tile", "other"))
 
-    tested = checkpoint(candidate_pairs(dealt(traits.withColumn("component", F.col("of_node"))), least, crossing=False))
+    def more(part: DataFrame, pairs: DataFrame) -> DataFrame:
+        """The components with the similar ones of ``pairs`` as further links."""
+        return components(part.select(F.col("node").alias("u"), F.col("component").alias("v")).unionByName(verified(pairs, first, plain, words, least)))
+
+    def labelled(part: DataFrame) -> DataFrame:
+        return traits.join(part, F.col("of_node") == F.col("node"), "left").select("of_node", "fp", "n", "sketch", F.coalesce("component", "of_node").alias("component"))
+
+    blocks = traits.select(F.col("of_node").alias("node"), "fp", F.explode(block_keys(traits.count(), DISTANCE)).alias("k")).select("node", "fp", "k.key", "k.value")
+    near = checkpoint(links(blocks, DISTANCE).select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v")).distinct())
+    found = components(verified(near, first, plain, words, least))
+    tested = checkpoint(candidate_pairs(dealt(labelled(found)), least, crossing=False).join(near, ["u", "v"], "left_anti"))
     # one candidate of each node first: in a group of copies that connects nearly all, and few others are left to verify
     once = checkpoint(tested.groupBy("v").agg(F.min("u").alias("u")).select("u", "v"))
-    sure = verified(once, first, plain, words, least)
-    part = components(sure)
-    named_u, named_v = (part.select(F.col("node").alias(f"node_{k}"), F.col("component").alias(f"component_{k}")) for k in "uv")
+    if not once.isEmpty():
+        found = more(found, once)
+    named_u, named_v = (found.select(F.col("node").alias(f"node_{k}"), F.col("component").alias(f"component_{k}")) for k in "uv")
     apart = F.col("component_u").isNull() | F.col("component_v").isNull() | (F.col("component_u") != F.col("component_v"))
     open_ = tested.join(once, ["u", "v"], "left_anti").join(named_u, F.col("u") == F.col("node_u"), "left").join(named_v, F.col("v") == F.col("node_v"), "left").where(apart).select("u", "v")
     open_ = checkpoint(open_)
     if not open_.isEmpty():
-        sure = sure.unionByName(verified(open_, first, plain, words, least))
-        part = components(sure)
-    found = part
-    labelled = traits.join(found, F.col("of_node") == F.col("node"), "left").select("of_node", "fp", "n", "sketch", F.coalesce("component", "of_node").alias("component"))
-    rest = checkpoint(candidate_pairs(dealt(labelled), least, crossing=True).join(tested, ["u", "v"], "left_anti"))
+        found = more(found, open_)
+    rest = checkpoint(candidate_pairs(dealt(labelled(found)), least, crossing=True).join(tested.unionByName(near), ["u", "v"], "left_anti"))
     if not rest.isEmpty():
-        found = components(sure.unionByName(verified(rest, first, plain, words, least)))
+        found = more(found, rest)
     member = first.join(found, "node", "left").select(F.col("digest").alias("of_digest"), F.coalesce("component", "node").alias("component"))
     return rows.join(member, F.col("digest") == F.col("of_digest")).select("doc_id", "sha", "fp", "component")
 

@@ -3,6 +3,7 @@
 import random
 
 import corpus_pipeline as cp
+import numpy as np
 from pyspark.sql import functions as F
 
 from folioscope.llm import simhash
@@ -71,6 +72,28 @@ def test_stage_keeps_what_is_below_and_drops_what_is_above(spark, sf):
     assert {r.doc_id for r in cp.near_dedup(spark, docs, sf).collect()} == want
 
 
+def test_stage_links_by_blocks_and_whatever_the_distance(spark, sf, monkeypatch):
+    """The blocks give links, and a pair of similarity 0.8 counts though its fingerprints are over ``LOOSE`` bits apart."""
+    rnd = random.Random(2)
+    base = [f"w{rnd.randrange(10**9)}" for _ in range(104)]
+    bits = lambda text: 2 * np.unpackbits(simhash.shingle_hashes(text, 5).view(np.uint8).reshape(-1, 8), axis=1).astype(int) - 1
+    lead = bits(" ".join(base)).sum(axis=0)
+    weak, added = np.argsort(abs(lead))[:34], list(base)
+    for _ in range(25):  # of many words the one whose shingle turns most of the bits that the base hardly decides
+        tries = [f"v{rnd.randrange(10**9)}" for _ in range(300)]
+        turned = [-(np.where(lead > 0, 1, -1) * bits(" ".join([*added[-4:], w]))[0])[weak].sum() for w in tries]
+        added.append(tries[int(np.argmax(turned))])
+    a, b = " ".join(base), " ".join(added)
+    far = np.bitwise_xor(*(np.int64(simhash.majority(simhash.shingle_hashes(t, 5))) for t in (a, b))).view(np.uint64)
+    assert int(far).bit_count() > simhash.LOOSE and len(shingles(a) & shingles(b)) / len(shingles(a) | shingles(b)) == 0.8
+    met, links = [], simhash.links
+    monkeypatch.setattr(simhash, "links", lambda *x: met.append(links(*x)) or met[-1])
+    long = [f"n{i}" for i in range(401)]
+    docs = spark.createDataFrame([(1, a), (2, b), (3, " ".join(long[:400])), (4, " ".join(long))], "doc_id long, text string")
+    assert sorted(r.doc_id for r in cp.near_dedup(spark, docs, sf).collect()) == [1, 3]
+    assert [x.isEmpty() for x in met] == [False]
+
+
 def test_components_are_over_fingerprints(spark, monkeypatch):
     """A fingerprint of null ids bridges its neighbours, and rows that repeat an id don't."""
     fps = {1: [(1, 0), (None, 0b1111), (2, 0b11111111)], 2: [(7, 0), (7, (1 << 62) - 1), (9, 1), (2, (1 << 62) - 2)]}
