@@ -1,12 +1,15 @@
 """Groups by exact shingle similarity against brute force over all pairs."""
 
 import random
+from pathlib import Path
 
 import corpus_pipeline as cp
 import numpy as np
 from pyspark.sql import functions as F
 
 from folioscope.llm import simhash
+from folioscope.llm.common import shared_dir
+from folioscope.llm.components import components
 
 
 def shingles(text):
@@ -94,6 +97,16 @@ def test_stage_links_by_blocks_and_whatever_the_distance(spark, sf, monkeypatch)
     assert [x.isEmpty() for x in met] == [False]
 
 
+def test_components_leave_their_last_round_only(spark):
+    at = Path(shared_dir(spark).removeprefix("file://"))
+    files = lambda: {p for p in at.rglob("part-*") if p.is_file()}
+    before = files()
+    chain = spark.range(200).select(F.col("id").alias("u"), (F.col("id") + 1).alias("v"))
+    found = components(chain)
+    assert len({p.parent for p in files() - before}) == 1
+    assert {(r.node, r.component) for r in found.collect()} == {(i, 0) for i in range(201)}
+
+
 def test_components_are_over_fingerprints(spark, monkeypatch):
     """A fingerprint of null ids bridges its neighbours, and rows that repeat an id don't."""
     fps = {1: [(1, 0), (None, 0b1111), (2, 0b11111111)], 2: [(7, 0), (7, (1 << 62) - 1), (9, 1), (2, (1 << 62) - 2)]}
