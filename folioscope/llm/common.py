@@ -56,12 +56,17 @@ def scratch(spark: SparkSession, name: str) -> str:
     return f"{shared_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
 
 
-def stored(df: DataFrame, name: str) -> DataFrame:
-    """Like :func:`checkpoint`, as compressed Parquet: smaller where rows are wide."""
+def spilled(df: DataFrame, name: str) -> tuple[DataFrame, str]:
+    """Like :func:`checkpoint`, as compressed Parquet, smaller where rows are wide; and its folder, for :func:`remove`."""
     at = scratch(df.sparkSession, name)
     with shuffles_removed(df.sparkSession):
         df.write.option("compression", "zstd").parquet(at)
-    return df.sparkSession.read.schema(df.schema).parquet(at)
+    return df.sparkSession.read.schema(df.schema).parquet(at), at
+
+
+def stored(df: DataFrame, name: str) -> DataFrame:
+    """:func:`spilled` for what is read to the end."""
+    return spilled(df, name)[0]
 
 
 def remove(spark: SparkSession, path: str) -> None:

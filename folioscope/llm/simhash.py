@@ -33,7 +33,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from folioscope.llm.common import checkpoint, stored, text_or_empty
+from folioscope.llm.common import checkpoint, remove, spilled, stored, text_or_empty
 from folioscope.llm.components import components
 
 #: Members of a key that are searched in one step.
@@ -198,12 +198,27 @@ def set_keys(hashes: np.ndarray, common: np.ndarray, least: float) -> np.ndarray
     return np.concatenate([hashes[~last], hashes[last]])[: n - math.ceil(least * n - 1e-9) + 1]
 
 
-def parity_sketch(hashes: np.ndarray) -> bytes:
+def parity_sketch(hashes: np.ndarray, bits: int = SKETCH) -> bytes:
     """Parities of the hashes by residue; two sketches never differ in more bits than their sets in hashes."""
-    counts = np.bincount((hashes >> np.uint64(11)).astype(np.int64) % SKETCH, minlength=SKETCH)
+    counts = np.bincount((hashes >> np.uint64(11)).astype(np.int64) % bits, minlength=bits)
     return np.packbits((counts & 1).astype(np.uint8)).tobytes()
 
 
+def long_sketch(hashes: np.ndarray) -> bytes:
+    """A parity sketch of at least a bit a hash (a power of two), or nothing where ``SKETCH`` bits are that many."""
+    return parity_sketch(hashes, 1 << (len(hashes) - 1).bit_length()) if len(hashes) > SKETCH else b""
+
+
+def bits_apart(a: bytes, b: bytes) -> int:
+    """In how many bits two long sketches differ, the longer one folded to the length of the other."""
+    a, b = sorted((a, b), key=len)
+    x, y, size = int.from_bytes(a), int.from_bytes(b), 8 * len(b)
+    while size > 8 * len(a):
+        size //= 2
+        y = (y >> size) ^ (y & ((1 << size) - 1))
+    return (x ^ y).bit_count()
+
+
 def common_shingles(docs: DataFrame, text_col: str, words: int) -> np.ndarray:
     """Frequent shingles of a bounded sample.  They only order the keys; no result depends on them."""
     share = min(1.0, SAMPLE / max(1, docs.count()))
@@ -297,6 +312,26 @@ def candidate_pairs(dealt: DataFrame, least: float, crossing: bool) -> DataFrame
     return plain.repartition(*by).sortWithinPartitions(*by).mapInArrow(run, "u long, v long").where("u != v").distinct()
 
 
+def allowed(pairs: DataFrame, traits: DataFrame, least: float) -> DataFrame:
+    """The ``pairs`` of nodes whose long sketches in ``traits`` (of_node, n, long) don't rule the similarity out.
+
+    ``SKETCH`` bits rule out nothing between sets of several thousand hashes, and sets of that size are what verifying
+    ships; a long sketch is at most a 32nd of its set.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            u, v, n_u, n_v, long_u, long_v = (c.to_pylist() for c in batch.columns)
+            most = (1 - least) / (1 + least)
+            ok = [not a or not b or bits_apart(a, b) <= most * (m + n) + 1e-9 for m, n, a, b in zip(n_u, n_v, long_u, long_v, strict=True)]
+            yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()).filter(pa.array(ok, pa.bool_())) for c in (u, v)], ["u", "v"])
+
+    some = traits.where(F.length("long") > 0)
+    left, right = (some.select(F.col("of_node").alias(f"of_{k}"), F.col("n").alias(f"n_{k}"), F.col("long").alias(f"long_{k}")) for k in "uv")
+    both = pairs.join(left, F.col("u") == F.col("of_u"), "left").join(right, F.col("v") == F.col("of_v"), "left")
+    return both.select("u", "v", "n_u", "n_v", "long_u", "long_v").mapInArrow(run, "u long, v long")
+
+
 def verified(pairs: DataFrame, first: DataFrame, docs: DataFrame, words: int, least: float) -> DataFrame:
     """The pairs of nodes whose sets of shingles have a similarity of at least ``least``.
 
@@ -312,11 +347,13 @@ def verified(pairs: DataFrame, first: DataFrame, docs: DataFrame, words: int, le
     asked = first.join(ids, F.col("node") == F.col("id"), "left_semi")
     texts = docs.join(asked, (F.col("sha") == F.col("least_sha")) & F.col("doc_id").eqNullSafe(F.col("least_id"))).select("node", "text")
     # rows that repeat id and text give one set
-    sets = stored(texts.mapInArrow(run, "of long, hashes array<bigint>").dropDuplicates(["of"]), "sets")
+    sets, at = spilled(texts.mapInArrow(run, "of long, hashes array<bigint>").dropDuplicates(["of"]), "sets")
     left, right = (sets.select(F.col("of").alias(f"of_{k}"), F.col("hashes").alias(f"set_{k}")) for k in "uv")
     both = pairs.join(left, F.col("u") == F.col("of_u")).join(right, F.col("v") == F.col("of_v"))
     common, total = F.size(F.array_intersect("set_u", "set_v")), F.size("set_u") + F.size("set_v")
-    return checkpoint(both.where(common / (total - common) >= least).select("u", "v").distinct())
+    out = checkpoint(both.where(common / (total - common) >= least).select("u", "v").distinct())
+    remove(docs.sparkSession, at)
+    return out
 
 
 def with_sha(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
@@ -334,7 +371,7 @@ def similar_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     First the SimHash method: pigeonhole blocks of the classes' fingerprints, join, Hamming check (``DISTANCE`` bits),
     verified pairs, components.  Similar pairs can be further apart than any distance that blocks can serve, so the
     rest follows exactly: classes that share one of their first shingles (:func:`set_keys`, which no similar pair
-    misses) are candidates if sizes and parity sketches allow the similarity.  Of these a spanning forest of each
+    misses) are candidates if sizes and parity sketches, for long texts of a bit a shingle, allow the similarity.  Of these a spanning forest of each
     group's pairs with near fingerprints is verified, one candidate of each node and then those that are still apart;
     then all candidates that the components don't connect yet, whatever their fingerprints.
     """
@@ -352,11 +389,12 @@ def similar_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
                 pa.array([len(s) for s in sets], pa.int64()),
                 pa.array([xxh128_digest(s.tobytes()) for s in sets], pa.binary()),
                 pa.array([parity_sketch(s) for s in sets], pa.binary()),
+                pa.array([long_sketch(s) for s in sets], pa.binary()),
                 pa.array([set_keys(s, common, least).view(np.int64) for s in sets], pa.list_(pa.int64())),
             ]
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), *columns], ["doc_id", "sha", "fp", "n", "digest", "sketch", "keys"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), *columns], ["doc_id", "sha", "fp", "n", "digest", "sketch", "long", "keys"])
 
-    rows = stored(plain.mapInArrow(run, f"doc_id {kind}, sha string, fp long, n long, digest binary, sketch binary, keys array<bigint>"), "shingles")
+    rows = stored(plain.mapInArrow(run, f"doc_id {kind}, sha string, fp long, n long, digest binary, sketch binary, long binary, keys array<bigint>"), "shingles")
     # of every class one row, by (null ids last, id, sha), and a number that is stored with it
     lowest = F.min(F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "sha"))
     classes = rows.groupBy("digest").agg(lowest.alias("row")).select("digest", F.col("row.doc_id").alias("least_id"), F.col("row.sha").alias("least_sha"), F.monotonically_increasing_id().alias("node"))
@@ -366,7 +404,7 @@ def similar_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     keyed = own.select("node", F.explode("keys").alias("value")).distinct()
     sizes = keyed.groupBy("value").agg(F.count("*").alias("members")).where("members > 1").select(F.col("value").alias("of_value"), F.ceil(F.col("members") / TILE).cast("int").alias("tiles"))
     shared = stored(keyed.join(sizes, F.col("value") == F.col("of_value")).select("node", "value", "tiles"), "shared")
-    traits = stored(own.select(F.col("node").alias("of_node"), "fp", "n", "sketch").distinct(), "traits")
+    traits = stored(own.select(F.col("node").alias("of_node"), "fp", "n", "sketch", "long").distinct(), "traits")
 
     def dealt(named: DataFrame) -> DataFrame:
         # a value with many members is dealt over the pairs of its tiles
@@ -384,7 +422,7 @@ def similar_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     blocks = traits.select(F.col("of_node").alias("node"), "fp", F.explode(block_keys(traits.count(), DISTANCE)).alias("k")).select("node", "fp", "k.key", "k.value")
     near = checkpoint(links(blocks, DISTANCE).select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v")).distinct())
     found = components(verified(near, first, plain, words, least))
-    tested = checkpoint(candidate_pairs(dealt(labelled(found)), least, crossing=False).join(near, ["u", "v"], "left_anti"))
+    tested = checkpoint(allowed(candidate_pairs(dealt(labelled(found)), least, crossing=False).join(near, ["u", "v"], "left_anti"), traits, least))
     # one candidate of each node first: in a group of copies that connects nearly all, and few others are left to verify
     once = checkpoint(tested.groupBy("v").agg(F.min("u").alias("u")).select("u", "v"))
     if not once.isEmpty():
@@ -395,7 +433,7 @@ def similar_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     open_ = checkpoint(open_)
     if not open_.isEmpty():
         found = more(found, open_)
-    rest = checkpoint(candidate_pairs(dealt(labelled(found)), least, crossing=True).join(tested.unionByName(near), ["u", "v"], "left_anti"))
+    rest = checkpoint(allowed(candidate_pairs(dealt(labelled(found)), least, crossing=True).join(tested.unionByName(near), ["u", "v"], "left_anti"), traits, least))
     if not rest.isEmpty():
         found = more(found, rest)
     member = first.join(found, "node", "left").select(F.col("digest").alias("of_digest"), F.coalesce("component", "node").alias("component"))

@@ -97,6 +97,34 @@ def test_stage_links_by_blocks_and_whatever_the_distance(spark, sf, monkeypatch)
     assert [x.isEmpty() for x in met] == [False]
 
 
+def test_long_texts_with_a_common_passage_are_not_verified(spark, monkeypatch):
+    """Sets of long texts are shipped for pairs that may be similar only, and go when they are compared."""
+    rnd = random.Random(5)
+    fresh = lambda n: [f"w{rnd.randrange(10**9)}" for _ in range(n)]
+    passages = [fresh(700) for _ in range(4)]
+    texts = [passages[i % 4] + fresh(1600 + 40 * i) for i in range(16)]
+    texts.append(texts[0] + fresh(540))  # similarity over 0.8
+    texts.append(texts[1] + fresh(640))  # below
+    texts = [" ".join(t) for t in texts]
+    asked, verified = [], simhash.verified
+    monkeypatch.setattr(simhash, "verified", lambda pairs, *x: asked.extend(pairs.collect()) or verified(pairs, *x))
+    rows = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    at = Path(shared_dir(spark).removeprefix("file://"))
+    before = set(at.glob("sets-*"))
+    assert {r.doc_id: r.component_id for r in simhash.similar_groups(rows).collect()} == brute(texts)
+    assert 1 <= len(asked) <= 3 and set(at.glob("sets-*")) == before
+
+
+def test_long_sketches_never_differ_in_more_bits_than_their_sets():
+    rng = np.random.default_rng(3)
+    for n, more in ((560, 0), (900, 250), (1000, 40), (4000, 900), (4090, 20)):
+        both = rng.integers(0, 2**64, n + more, dtype=np.uint64)
+        a, b = both[:n], both[n // 20 :]
+        far = simhash.bits_apart(simhash.long_sketch(a), simhash.long_sketch(b))
+        assert far == simhash.bits_apart(simhash.long_sketch(b), simhash.long_sketch(a)) and (n // 20 + more) / 2 < far <= n // 20 + more
+    assert simhash.long_sketch(both[:512]) == simhash.long_sketch(both[:0]) == b""
+
+
 def test_components_leave_their_last_round_only(spark):
     at = Path(shared_dir(spark).removeprefix("file://"))
     files = lambda: {p for p in at.rglob("part-*") if p.is_file()}
