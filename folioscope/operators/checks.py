@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from folioscope.functions.text import squeeze
+from folioscope.functions.text import EDGE, lower, squeeze
 
 OUTCOMES = ("matched", "flagged", "unchecked")
 # fixed values: scale words, and the tokens below which a quote locates nothing
@@ -15,7 +15,7 @@ MIN_TOKENS = 3
 
 def canon(c: Column) -> Column:
     """Text for comparison: bars and white space are one space, letters are lower case."""
-    return F.lower(squeeze(F.regexp_replace(c, "\\|", " ")))
+    return lower(squeeze(F.regexp_replace(c, "\\|", " ")))
 
 
 def locate_exact(quotes: DataFrame, sources: DataFrame, quote_id: str, quote: str, source_id: str, text: str, width: int = 24) -> DataFrame:
@@ -118,7 +118,7 @@ def ungrounded(text: Column, coverage: Column, tickers: list[str]) -> Column:
     """
     held = F.regexp_extract_all(coverage, F.lit("[A-Za-z0-9]+"), F.lit(0))
     years = F.filter(F.regexp_extract_all(text, F.lit("[0-9-]+"), F.lit(0)), lambda x: x.rlike("^(?:19|20)[0-9]{2}$"))
-    named = F.filter(F.regexp_extract_all(text, F.lit(r"\b[A-Z]{2,5}\b"), F.lit(0)), lambda x: x.isin(*tickers))
+    named = F.filter(F.regexp_extract_all(text, F.lit(rf"{EDGE}[A-Z]{{2,5}}{EDGE}"), F.lit(0)), lambda x: x.isin(*tickers))
     return F.filter(F.concat(years, named), lambda x: ~F.array_contains(held, x))
 
 

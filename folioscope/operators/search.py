@@ -12,6 +12,8 @@ import re
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from folioscope.functions.text import lower
+
 K1, B, RRF = 1.5, 0.75, 60
 #: The usual short list of English stop words of search engines.
 STOP_WORDS = (
@@ -21,7 +23,7 @@ STOP_WORDS = (
 
 def tokens(text: Column) -> Column:
     """Lower-cased words of two characters and more, without stop words."""
-    return F.filter(F.regexp_extract_all(F.lower(text), F.lit("[a-z0-9]{2,}"), F.lit(0)), lambda w: ~w.isin(*STOP_WORDS))
+    return F.filter(F.regexp_extract_all(lower(text), F.lit("[a-z0-9]{2,}"), F.lit(0)), lambda w: ~w.isin(*STOP_WORDS))
 
 
 def query_terms(query: str) -> list[str]:
