@@ -104,7 +104,7 @@ def running_headers(spark, sf_dir):
 SELECT doc_id, len(s)::BIGINT AS n_sentences, coalesce(list_max(list_transform(s, lambda x: length(x))), 0)::BIGINT AS longest FROM s""")
 def sentence_split(spark, sf_dir):
     s = structure.sentences(F.col("text"))
-    return read(spark, sf_dir, "documents").select("doc_id", s.alias("s")).select("doc_id", F.size("s").cast("long").alias("n_sentences"), F.coalesce(F.array_max(F.transform("s", F.length)), F.lit(0)).cast("long").alias("longest"))
+    return read(spark, sf_dir, "documents").select("doc_id", s.alias("s")).select("doc_id", F.array_size("s").cast("long").alias("n_sentences"), F.coalesce(F.array_max(F.transform("s", F.length)), F.lit(0)).cast("long").alias("longest"))
 
 
 @query("""SELECT doc_id, list_transform(list_filter(string_split(text, chr(10)), lambda r: contains(r, '|') AND regexp_matches(regexp_replace(r, '^[^|]*[|]', ''), '[0-9]')), lambda r: trim(split_part(r, '|', 1))) AS labels FROM documents""")

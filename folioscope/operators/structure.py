@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from folioscope.functions.text import running_total
+from folioscope.functions.text import running_total, strip
 
 
 def lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -29,7 +29,7 @@ def table_blocks(of_lines: DataFrame, shortest: int = 3, gap_chars: int = 80) ->
 
 def running_headers(of_lines: DataFrame, least: int = 5, longest: int = 120) -> DataFrame:
     """(doc_id, header, copies, kept_line): short lines without digits that repeat; the first copy survives."""
-    key = F.trim("line")
+    key = strip(F.col("line"))
     rows = of_lines.select("doc_id", "n", key.alias("header")).where((F.length("header") > 0) & (F.length("header") < longest) & ~F.col("header").rlike("[0-9]"))
     return rows.groupBy("doc_id", "header").agg(F.count("*").alias("copies"), F.min("n").alias("kept_line")).where(F.col("copies") >= least)
 
@@ -37,7 +37,7 @@ def running_headers(of_lines: DataFrame, least: int = 5, longest: int = 120) ->
 def sentences(text: Column) -> Column:
     """Sentences of a text: cut after a stop, question or exclamation mark before white space, and at line ends."""
     marked = F.regexp_replace(text, "([.!?])[ \\t]+", "$1\n")
-    return F.filter(F.transform(F.split(marked, "\n"), F.trim), lambda s: s != "")
+    return F.filter(F.transform(F.split(marked, "\n"), lambda s: strip(s)), lambda s: s != "")
 
 
 def spans(marks: DataFrame, by: str, at: str, end: Column) -> DataFrame:

@@ -36,3 +36,26 @@ def test_words_beside_letters_beyond_ascii(differences, name):
 def test_tickers_beside_letters_beyond_ascii(differences):
     got, want = differences("gap_grounding", "conversations", *turns(("ñ", "öEU, USé and UK_"), ("EU", "éEU API"), (None, "EU")))
     assert got == want
+
+
+ODD = ["0 zero. One 1\nis 12. 3  \n 4 lead", "x \n y. 　", " a | 1\n b |c 2", " \n\t\n  ", " First\nsecond", *["　Head\n" * 5 + "Head "], None, ""]
+
+
+@pytest.mark.parametrize("name", ["sentence_split", "running_headers", "row_labels"])
+def test_spaces_and_digits_at_the_ends_of_lines(differences, name):
+    got, want = differences(name, "documents", list(enumerate(ODD)), "doc_id long, text string")
+    assert got == want
+
+
+@pytest.mark.parametrize("name", ["prompt_fences", "question_keys"])
+def test_spaces_at_the_ends_of_turns(differences, name):
+    got, want = differences(name, "conversations", *turns(*ODD))
+    assert got == want
+
+
+def test_digits_stay_in_sentences(spark):
+    from pyspark.sql import functions as F
+
+    from folioscope.operators import structure
+
+    assert spark.range(1).select(structure.sentences(F.lit("0 a 0. b1\n 22. ")).alias("s")).first().s == ["0 a 0.", "b1", "22."]
