@@ -428,7 +428,8 @@ def _turns(spark: SparkSession, sf_dir: str) -> DataFrame:
 d AS (SELECT *, list_distinct(said) AS wanted FROM w WHERE len(said) >= 3), n AS (SELECT *, least(len(wanted), len(have)) AS width FROM d)
 SELECT conv_id, turn, round(list_max(list_transform(range(0, len(have) - width + 1), lambda i: len(list_intersect(have[i + 1 : i + width], wanted)))) / len(wanted), 6) AS share FROM n""")
 def quote_token_share(spark, sf_dir):
-    return _turns(spark, sf_dir).select("conv_id", "turn", F.round(checks.token_share(F.col("next_text"), F.col("text")), 6).alias("share")).where("share is not null")
+    said = _turns(spark, sf_dir).where(F.size(checks.tokens(F.col("next_text"))) >= checks.MIN_TOKENS)
+    return said.select("conv_id", "turn", F.round(checks.token_share(F.col("next_text"), F.col("text")), 6).alias("share"))
 
 
 @query(f"""WITH {_PAIRS}, n AS (SELECT conv_id, turn, regexp_extract_all(text, '[A-Za-z0-9]+') AS held, list_concat(list_filter(regexp_extract_all(next_text, '[0-9-]+'), lambda x: regexp_full_match(x, '(19|20)[0-9][0-9]')), list_filter(regexp_extract_all(next_text, '\\b[A-Z]{{2,5}}\\b'), lambda x: x IN ('AI', 'API', 'EU', 'UK', 'US'))) AS named FROM pairs WHERE next_text IS NOT NULL)

@@ -59,3 +59,21 @@ def test_digits_stay_in_sentences(spark):
     from folioscope.operators import structure
 
     assert spark.range(1).select(structure.sentences(F.lit("0 a 0. b1\n 22. ")).alias("s")).first().s == ["0 a 0.", "b1", "22."]
+
+
+def test_shares_of_odd_turns(differences):
+    got, want = differences("quote_token_share", "conversations", *turns((None, "a b c"), ("a b c", None), ("", "a b c"), ("a  b", "a b c a"), ("x a b c c a", "A b|c C"), ("c a x a b a c", "a b c"), ("İ a b", "i a b")))
+    assert got == want and len(got) == 6
+
+
+def test_a_long_excerpt_is_gone_through_once(spark):
+    from time import monotonic
+
+    from pyspark.sql import functions as F
+
+    from folioscope.operators import checks
+
+    words = [f"w{i}" for i in range(10_000)]
+    pair = spark.createDataFrame([(" ".join(words[::2]), " ".join(words * 2))], "q string, t string").select(checks.token_share(F.col("q"), F.col("t")).alias("x"))
+    start = monotonic()
+    assert pair.first().x == 0.5 and monotonic() - start < 60
