@@ -411,7 +411,7 @@ def figure_rescaled(spark, sf_dir):
     rows = read(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", "l_partkey", F.expr("(cast(round(l_extendedprice / l_quantity) as bigint) + 50) div 100").alias("tenths")).distinct()
     rows = rows.withColumn("digits", F.expr("concat(tenths div 10, '.', tenths % 10)"))
     sig = F.greatest(F.lit(1), F.length(F.ltrim(F.replace("digits", F.lit(".")), F.lit("0"))))
-    rows = rows.select("*", sig.alias("sig"), F.lit(False).alias("percent"), F.lit(False).alias("dollar"), F.lit("million").alias("scale"), F.concat_ws(":", "l_orderkey", "l_linenumber", "l_partkey", "tenths").alias("figure_id"))
+    rows = rows.select("*", sig.alias("sig"), F.lit(False).alias("percent"), F.lit(False).alias("dollar"), F.lit("million").alias("scale"))
     printed = read(spark, sf_dir, "part").where("p_retailprice >= 1").select(F.col("p_partkey").alias("l_partkey"), F.col("p_partkey").alias("place"), F.round("p_retailprice").cast("long").cast("string").alias("digits"), F.lit(False).alias("percent"), F.lit("thousand").alias("scale"))
     return checks.match_figures(rows, printed, "l_partkey").select("l_orderkey", "l_linenumber", "l_partkey", "digits", "outcome")
 

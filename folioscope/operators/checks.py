@@ -72,28 +72,34 @@ def at_precision(x: Column, digits: Column) -> Column:
 def match_figures(figures: DataFrame, sources: DataFrame, by: str) -> DataFrame:
     """Adds (place, converted, outcome) to figures: the printed number each of them is.
 
-    ``figures``: by, figure_id (unique), digits, sig (significant digits), percent, dollar, scale (a word or null).
-    ``sources``: by, place, digits, percent, scale.  A percentage is only a printed percentage; what has a currency
-    sign or a scale word is none.  Equal digits come first; else a number of another scale that reads as the
+    ``figures``: by, digits, sig (significant digits), percent, dollar, scale (a word or null).
+    ``sources``: by, place (not null), digits, percent, scale.  A percentage is only a printed percentage; what has a
+    currency sign or a scale word is none.  Equal digits come first; else a number of another scale that reads as the
     figure at its precision.  Of several the first place.
 
-    Numbers are joined on their digits, and rescaled ones on their value at each precision asked for in that
-    ``by``, so neither compares every figure with every number.
+    Figures are joined once on their digits and once on their value at their precision, so neither compares every
+    figure with every number.  Numbers are rescaled to each pair of a scale word and a precision that figures have,
+    and there are few of those in a whole table.
     """
-    f = figures.select(F.col(by).alias("f_by"), F.col("figure_id").alias("f_id"), F.col("digits").alias("f_digits"), F.col("sig").alias("f_sig"), F.col("percent").alias("f_percent"), F.col("dollar").alias("f_dollar"), F.col("scale").alias("f_scale"))
-    s = sources.groupBy(F.col(by).alias("s_by"), F.col("digits").alias("s_digits"), F.col("percent").alias("s_percent"), F.col("scale").alias("s_scale")).agg(F.min("place").alias("place"))
-    fits = F.when(F.col("f_percent"), F.col("s_percent")).otherwise(~(F.col("s_percent") & (F.col("f_dollar") | F.col("f_scale").isNotNull())))
-    printed = f.join(s, (F.col("f_by") == F.col("s_by")) & (F.col("f_digits") == F.col("s_digits"))).where(fits).select("f_id", F.lit(False).alias("converted"), "place")
-    scaled = f.where("f_scale is not null and not f_percent")
-    asked = scaled.select(F.col("f_by").alias("a_by"), F.col("f_scale").alias("a_scale"), F.col("f_sig").alias("a_sig")).distinct()
-    value = F.col("s_digits").cast("double") * factor(F.col("s_scale")) / factor(F.col("a_scale"))
-    rescaled = s.join(asked, (F.col("s_by") == F.col("a_by")) & (F.col("s_scale") != F.col("a_scale"))).select("a_by", "a_scale", "a_sig", "s_percent", "place", at_precision(value, F.col("a_sig")).alias("a_value"))
-    same = (F.col("f_by") == F.col("a_by")) & (F.col("f_scale") == F.col("a_scale")) & (F.col("f_sig") == F.col("a_sig")) & (F.col("f_value") == F.col("a_value"))
-    claimed = scaled.withColumn("f_value", at_precision(F.col("f_digits").cast("double"), F.col("f_sig")))
-    converted = claimed.join(rescaled, same).where(fits).select("f_id", F.lit(True).alias("converted"), "place")
-    best = printed.unionByName(converted).groupBy("f_id").agg(F.min(F.struct("converted", "place")).alias("best"))
-    out = figures.join(best, F.col("figure_id") == F.col("f_id"), "left").withColumn("place", F.col("best.place")).withColumn("converted", F.coalesce("best.converted", F.lit(False)))
-    return out.withColumn("outcome", F.when(F.col("best").isNull(), "flagged").otherwise("matched")).drop("best", "f_id")
+    s = sources.select(F.col(by).alias("s_by"), F.col("digits").alias("s_digits"), F.col("percent").alias("s_percent"), F.col("scale").alias("s_scale"), F.col("place").alias("s_place"))
+    first = {"p_any": F.col("s_place"), "p_percent": F.when(F.col("s_percent"), F.col("s_place")), "p_plain": F.when(~F.col("s_percent"), F.col("s_place"))}
+    printed = s.groupBy(F.col("s_by").alias("p_by"), F.col("s_digits").alias("p_digits")).agg(*(F.min(c).alias(n) for n, c in first.items()))
+    fits = F.when(F.col("percent"), F.col("p_percent")).when(~F.col("dollar") & F.col("scale").isNull(), F.col("p_any")).otherwise(F.col("p_plain"))
+
+    scaled = factor(F.col("scale")).isNotNull() & ~F.col("percent")
+    # collected, not broadcast: a broadcast that waits for a pass over all figures may time out
+    pairs = figures.where(scaled).select("scale", F.col("sig").cast("int")).distinct().collect()
+    asked = F.array(*(F.struct(F.lit(scale).alias("scale"), F.lit(sig).alias("sig")) for scale, sig in pairs)).cast("array<struct<scale:string,sig:int>>")
+    value = F.col("s_digits").cast("double") * factor(F.col("s_scale")) / factor(F.col("r.scale"))
+    each = s.where(~F.col("s_percent")).select("*", F.explode(asked).alias("r")).where(F.col("s_scale") != F.col("r.scale"))
+    rescaled = each.select(F.col("s_by").alias("r_by"), F.col("r.scale").alias("r_scale"), F.col("r.sig").alias("r_sig"), at_precision(value, F.col("r.sig")).alias("r_value"), "s_place")
+    rescaled = rescaled.where("r_value is not null").groupBy("r_by", "r_scale", "r_sig", "r_value").agg(F.min("s_place").alias("r_place"))
+
+    f = figures.withColumn("f_value", F.when(scaled, at_precision(F.col("digits").cast("double"), F.col("sig"))))
+    same = (F.col(by) == F.col("r_by")) & (F.col("scale") == F.col("r_scale")) & (F.col("sig") == F.col("r_sig")) & (F.col("f_value") == F.col("r_value"))
+    hit = f.join(printed, (F.col(by) == F.col("p_by")) & (F.col("digits") == F.col("p_digits")), "left").join(rescaled, same, "left")
+    out = hit.select(*(F.col(c) for c in figures.columns), F.coalesce(fits, "r_place").alias("place"), (fits.isNull() & F.col("r_place").isNotNull()).alias("converted"))
+    return out.withColumn("outcome", F.when(F.col("place").isNull(), "flagged").otherwise("matched"))
 
 
 def row_scale(units: Column, units_source: Column) -> Column:

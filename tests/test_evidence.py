@@ -90,3 +90,13 @@ def test_places_of_many_lines(spark):
     rows = structure.lines(spark.createDataFrame([(1, text), (2, None), (3, "")], "doc_id int, text string")).collect()
     assert [r.doc_id for r in rows].count(3) == 1 and not any(r.doc_id == 2 for r in rows)
     assert all(text[r.start : r.start + len(r.line)] == r.line for r in rows if r.doc_id == 1) and len(rows) == 50_001
+
+
+def test_figures_are_shuffled_once_for_each_join(spark):
+    """Every figure keeps its row, equal ones too, and no figure is grouped or joined back by an id."""
+    claims = spark.createDataFrame([("x", "5", 1, False, False, "million")] * 2 + [("x", "7", 1, False, True, None), ("x", "9", 1, True, False, None), ("z", "5", 1, False, False, "million")], "chunk string, digits string, sig int, percent boolean, dollar boolean, scale string")
+    printed = spark.createDataFrame([("x", "5000", False, "thousand", 4), ("x", "0.005", False, "billion", 3), ("x", "7", True, None, 1), ("x", "7", False, None, 2), ("x", "9", True, None, 8)], "chunk string, digits string, percent boolean, scale string, place int")
+    out = checks.match_figures(claims, printed, "chunk")
+    assert sorted((r.chunk, r.digits, r.place or 0, r.converted, r.outcome) for r in out.collect()) == [("x", "5", 3, True, "matched"), ("x", "5", 3, True, "matched"), ("x", "7", 2, False, "matched"), ("x", "9", 8, False, "matched"), ("z", "5", 0, False, "flagged")]
+    plan = out._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("Join ") == 2 and plan.count("Aggregate ") == 2
